@@ -83,7 +83,9 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         left.cast("long").alias("left_chars"),
         F.col("_good").alias("lines"),
     )
-    return df.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") * 2 >= F.col("word_chars")))
+    # the partition's number (never below 0) keeps later filters from being pushed below and computing all of this again
+    verdict = ~F.col("base_failed") & (F.col("left_chars") * 2 >= F.col("word_chars")) & (F.spark_partition_id() >= 0)
+    return df.withColumn("base_failed", base).withColumn("kept", verdict)
 
 
 def clean(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
