@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality
+from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
