@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup
+from . import chat, exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
