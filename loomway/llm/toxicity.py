@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-A sentence's probability is a logistic function of its hashed words; the document's is the noisy-or of its sentences'.
+A sentence's probability is a logistic function of its hashed words and their beginnings; the document's is the noisy-or of its sentences'.
 Both are trained from document labels alone, by gradient descent on the likelihood of a bounded sample
 (``TRAIN_DOCS``, drawn by a hash of the id). The sentence probabilities then say which sentences offend.
 
@@ -23,7 +23,9 @@ from ..core import table
 from .bytesvec import U, prefix, sliced, stretch, words
 
 TRAIN_DOCS, FOLDS = 8000, 5
-BITS, LEAST_DOCS, MARGIN, EPOCHS, RATE, DECAY, BIAS = 18, 3, 2.0, 200, 0.15, 1e-4, -7.0
+#: Bytes of a word's beginnings that are features beside the word.
+PREFIXES = (4, 5, 6)
+BITS, LEAST_DOCS, MARGIN, EPOCHS, RATE, DECAY, BIAS = 20, 3, 2.0, 200, 0.15, 1e-4, -7.0
 TOKEN = np.arange(256, dtype=np.uint8)
 TOKEN[65:91] += 32
 TOKEN[[i for i in range(128) if not (48 <= i < 58 or 65 <= i < 91 or 97 <= i < 123 or i == 39)]] = 32
@@ -32,12 +34,15 @@ BREAK[[10, 33, 46, 63]] = True
 
 
 def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Feature and sentence of every word; row, start and end of every sentence that has one."""
+    """Features (a row for the words, one for each length of prefix) and sentence of every word; row, start and end of
+    every sentence that has one."""
     token = TOKEN[data]
     start, end = words(token, rows)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 5
-    feature = (stretch(prefix(token), start, end) >> U(64 - BITS)).astype(np.int64)
+        return np.zeros((1 + len(PREFIXES), 0), np.int64), *((np.zeros(0, np.int64),) * 4)
+    sums = prefix(token)
+    ends = [end, *(np.minimum(start + n, end) for n in PREFIXES)]
+    feature = np.stack([(stretch(sums, start, e) >> U(64 - BITS)).astype(np.int64) for e in ends])
     stops = np.concatenate(([0], np.cumsum(BREAK[data])))[start]
     row = np.searchsorted(rows, start, "right") - 1
     new = np.concatenate(([True], (stops[1:] != stops[:-1]) | (row[1:] != row[:-1])))
@@ -45,55 +50,60 @@ def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     return feature, np.cumsum(new) - 1, row[at], start[at], end[np.append(at[1:], len(end)) - 1]
 
 
+def present(feature: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``of << BITS | feature`` for the known features, each once; of: sentence or document of every word."""
+    return np.unique(np.concatenate([of[k] << BITS | f[k] for f in feature for k in (known[f],)]))
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def telling(pairs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features whose documents' labels differ from all documents' by more than chance explains, however many features
-    are tried (a likelihood-ratio test); pairs: ``document << BITS | feature``, each once."""
-    of, in_toxic = (np.bincount(p & ((1 << BITS) - 1), minlength=1 << BITS).astype(float) for p in (pairs, pairs[toxic[pairs >> BITS]]))
-    rate = toxic.mean()
+def telling(of: np.ndarray, in_toxic: np.ndarray, rate: float) -> np.ndarray:
+    """Which features' documents are toxic more or less often than all are, beyond what chance explains with so many
+    features tried (a likelihood-ratio test)."""
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(in_toxic * np.log(in_toxic / (of * rate))) + np.nan_to_num((of - in_toxic) * np.log((of - in_toxic) / (of * (1 - rate))))
     tried = of >= LEAST_DOCS
-    return np.flatnonzero(tried & (gain > np.log(max(2, tried.sum())) + MARGIN))
+    return tried & (gain > np.log(max(2, tried.sum())) + MARGIN)
 
 
 def train(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     """Weights of the features, and last the bias."""
-    feats, sents, docs, n = [], [], [], 0
+    w = np.zeros((1 << BITS) + 1)
+    w[-1] = -60
+    if toxic.all() or not toxic.any():
+        return w
+    of, in_toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    every = np.ones(1 << BITS, bool)
+    for lo, hi, data, rows in sliced(texts):
+        f, s, row, _, _ = sentences(data, rows)
+        pair = present(f, row[s], every)
+        of += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
+        in_toxic += np.bincount(pair[toxic[lo:hi][pair >> BITS]] & ((1 << BITS) - 1), minlength=1 << BITS)
+    known = telling(of, in_toxic, toxic.mean())
+    pairs, docs, n = [], [], 0
     for lo, _, data, rows in sliced(texts):
         f, s, row, _, _ = sentences(data, rows)
-        feats.append(f)
-        sents.append(s + n)
+        pairs.append(present(f, s, known) + (n << BITS))
         docs.append(row + lo)
         n += len(row)
-    f, s, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (feats, sents, docs))
-    w = np.zeros((1 << BITS) + 1)
-    w[-1] = BIAS
-    if not len(f) or toxic.all() or not toxic.any():
-        w[-1] = -60
-        return w
-    known = telling(np.unique(d[s] << BITS | f), toxic)
-    to = np.full(1 << BITS, -1)
-    to[known] = np.arange(len(known))
-    own = to[f] >= 0
-    pair = np.unique(s[own] * len(known) + to[f[own]])  # a word counts once in a sentence
-    s, f = pair // max(1, len(known)), pair % max(1, len(known))
-    theta, bias = np.zeros(len(known)), BIAS
-    m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    pair, d = np.concatenate(pairs), np.concatenate(docs)
+    at = np.flatnonzero(known)
+    s, f = pair >> BITS, np.searchsorted(at, pair & ((1 << BITS) - 1))
+    theta, bias = np.zeros(len(at)), BIAS
+    m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for epoch in range(1, EPOCHS + 1):
         z = bias + np.bincount(s, theta[f], n)
         total = np.bincount(d, _softplus(z), len(toxic))
         pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
         slope = pull[d] / (1 + np.exp(-z))
-        g = np.append(np.bincount(f, slope[s], len(known)), slope.sum()) / len(toxic)
+        g = np.append(np.bincount(f, slope[s], len(at)), slope.sum()) / len(toxic)
         g[:-1] += DECAY * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
         theta, bias = theta - step[:-1], bias - step[-1]
-    w[known], w[-1] = theta, bias
+    w[at], w[-1] = theta, bias
     return w
 
 
@@ -120,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score(batches: Iterable[pa.RecordBatch], w: np.ndarray, spans: bool) -> Iterator[pa.RecordBatch]:
+    known = w[:-1] != 0
     for b in batches:
         score, many, offend = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         found: list[list] = [[] for _ in range(b.num_rows)] if spans else []
@@ -127,7 +138,7 @@ def _score(batches: Iterable[pa.RecordBatch], w: np.ndarray, spans: bool) -> Ite
             f, s, row, start, end = sentences(data, rows)
             if not len(row):
                 continue
-            pair = np.unique(s << BITS | f)
+            pair = present(f, s, known)
             z = w[-1] + np.bincount(pair >> BITS, w[pair & ((1 << BITS) - 1)], len(row))
             score[lo:hi] = -np.expm1(-np.bincount(row, _softplus(z), hi - lo))
             many[lo:hi] = np.bincount(row, minlength=hi - lo)
