@@ -1,30 +1,53 @@
-"""A corpus pipeline: quality rules, then line dedup. More stages follow."""
+"""A corpus pipeline of five stages, from raw documents to packed sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomway.core import materialize, table
-from loomway.llm import line_dedup, quality
+from loomway.llm import line_dedup, mixing, near_dedup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that fail."""
     return quality.clean(docs)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share."""
     return line_dedup.without_shared_lines(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", shared_lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    return near_dedup.keep_one(docs)
 
-#: Hash-drawn copies and tokenizer ids cannot be written in SQL.
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", shared_lines),
+    ("near duplicates", near_duplicates),
+    ("source mix", source_mix),
+    ("packing", packed),
+]
+
+#: Copies drawn by hashes and ids of a tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
