@@ -63,14 +63,47 @@ def find_anchors(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, place, gram[place].astype(np.int64), around.astype(np.int64), lo, hi
 
 
+ANCHOR = ["h", "c", "id", "th", "pos", "lo", "hi"]
+
+
+def _anchor_rows(*cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(cols)], ANCHOR)
+
+
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of each batch. Those that repeat one of the batch are decided here: they become covered intervals (``pos``
+    is -1) with a bucket drawn at random, so that what is repeated very often does not meet in one task."""
     for b in batches:
+        found: list[list] = [[] for _ in range(8)]
         ids, th = (b.column(i).to_numpy() for i in (0, 1))
         for lo, _, data, rows in sliced(b.column(2)):
             row, place, gram, around, a, z = find_anchors(data, rows)
             at = rows[row]
-            cols = [gram, around, ids[lo + row], th[lo + row], place - at, a - at, z - at]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(cols)], ["h", "c", "id", "th", "pos", "lo", "hi"])
+            for col, v in zip(found, (gram, around, ids[lo + row], th[lo + row], place - at, a - at, z - at, row + lo)):
+                col.append(v)
+        if not found[0]:
+            continue
+        h, c, i, t, pos, a, z, row = (np.concatenate(x) for x in found)
+        order = np.lexsort((t, pos, i, c, h))
+        h, c, i, t, pos, a, z, row = (x[order] for x in (h, c, i, t, pos, a, z, row))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        again = (i[of] != i) | (t[of] != t) | (pos[of] != pos)
+        first = ~again
+        yield _anchor_rows(h[first], c[first], i[first], t[first], pos[first], a[first], z[first])
+        g = np.flatnonzero(again)
+        if len(g):
+            g = g[np.lexsort((a[g], row[g]))]
+            r, lo, hi = row[g], a[g].astype(np.int64), z[g].astype(np.int64)
+            reach = np.maximum.accumulate(hi + (r << 40)) - (r << 40)  # of the same row, since rows ascend
+            starts = np.ones(len(g), bool)
+            starts[1:] = (r[1:] != r[:-1]) | (lo[1:] > reach[:-1])
+            s = np.flatnonzero(starts)
+            e = np.append(s[1:], len(g)) - 1
+            k = g[s]
+            spread = mix(i[k].astype(U) * U(0x9E3779B97F4A7C15) + lo[s].astype(U)).astype(np.int64)
+            yield _anchor_rows(spread, np.zeros(len(k), np.int64), i[k], t[k], np.full(len(k), -1), lo[s], reach[e])
 
 
 OUT = ["id", "th", "lo", "hi", "h"]
@@ -86,6 +119,10 @@ def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alone: list = []  # the first of the bucket at hand, while it has no second class
     for b in batches:
         h, c, ids, th, pos, lo, hi = (x.to_numpy() for x in b.columns)
+        done = pos < 0
+        if done.any():
+            yield _made(ids[done], th[done], lo[done], hi[done], np.zeros(int(done.sum()), np.int64))
+            h, c, ids, th, pos, lo, hi = (x[~done] for x in (h, c, ids, th, pos, lo, hi))
         if not len(h):
             continue
         new = np.ones(len(h), bool)
