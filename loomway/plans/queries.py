@@ -55,7 +55,7 @@ def sssp(spark, sf_dir):
     return search(directed(spark, sf_dir), _from_zero(spark)).select("v", _ms(F.col("cost")))
 
 
-@query(_sssp_sql(weight="(e.ms * CASE WHEN e.tolls > 0 THEN 1000000 ELSE 1 END)"))
+@query(_sssp_sql(weight="(e.ms::BIGINT * CASE WHEN e.tolls > 0 THEN 1000000 ELSE 1 END)"))
 def sssp_tolls(spark, sf_dir):
     """The same with tolls avoided where possible: penalised cost."""
     return search(directed(spark, sf_dir), _from_zero(spark), avoid_tolls=_from_zero(spark).select("query_id")).select("v", _ms(F.col("cost")))
