@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space that separates words; nothing else does.
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,3 +39,26 @@ def chars_in(text: Column, chars: str) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Bits of the filter made by ``perhaps_in``, at most; beyond that many ids it lets more through.
+FILTER_BITS = 1 << 26
+_PAGE = 1 << 15
+
+
+def flag_perhaps(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """Adds whether ``key`` may be among ``ids`` (one column): true for all that are, and for some that are not. The
+    bitmaps that are broadcast hold 8 MB at most, whatever the number of ids; a later join then need not move the rest."""
+    pages, n = 1, ids.count()
+    while pages * _PAGE < min(16 * n, FILTER_BITS):
+        pages *= 2
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(pages * _PAGE))
+    marks = ids.select(bit(F.col(ids.columns[0])).alias("b")).groupBy(F.floor(F.col("b") / _PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("b") % _PAGE).alias("_map"))
+    out = rows.withColumn("_bit", bit(F.col(key))).join(F.broadcast(materialize(marks)), F.floor(F.col("_bit") / _PAGE) == F.col("_page"), "left")
+    byte = f"cast(conv(hex(substring(_map, cast(_bit % {_PAGE} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return out.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1, false)").alias(name))
+
+
+def perhaps_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among ``ids``."""
+    return flag_perhaps(rows, key, ids, "_perhaps").filter("_perhaps").drop("_perhaps")

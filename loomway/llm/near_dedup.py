@@ -5,7 +5,8 @@
    neighbours whose common prefix is as long as their region asks for are candidates. A region of equal prefixes
    asks for one more minhash as long as it holds more than ``REGION`` sets.
 3. Connected candidates form a bundle; bundles hold every pair that could be linked, up to the chance that a pair
-   shares no prefix in any tree. Within bundles all pairs are compared in full, unless already connected: bundles are
+   shares no prefix in any tree. Bundles of one block are divided where all of their signatures disagree too much for a
+   link. Within bundles all pairs are compared in full, unless already connected: bundles are
    cut into blocks of bounded size, each block with the bundle's pivots in one task, and what is then not in the
    bundle's largest component meets all of its blocks. No pair is capped or sampled away.
 4. Confirmed links give the components.
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from ..core import materialize, table
 from ..operators.components import connected_components
-from .bytesvec import LOWER, U, mix, sliced, stretch, prefix, words
+from .bytesvec import LOWER, U, mix, prefix, sliced, stretch, words
+from .common import flag_perhaps, perhaps_in, small
 
 TREES, DEPTH, BASE, REGION = 40, 6, 4, 50
-BLOCK, PIVOTS = 400, 24
+BLOCK, PIVOTS = 256, 16
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | U(1)
 _ADDENDS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -69,6 +71,8 @@ def _print(s: np.ndarray) -> tuple[int, int]:
 
 
 def _prints(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Adds the size and print of each text's set, and the labels where a partition has the set for the first time."""
+    seen = set()
     for b in batches:
         n, k1, k2, labels = [], [], [], []
         for s in shingle_sets(b.column(b.num_columns - 1), width):
@@ -76,7 +80,8 @@ def _prints(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Record
             a, c = _print(s)
             k1.append(a)
             k2.append(c)
-            if len(s):
+            if len(s) and (a, c) not in seen:
+                seen.add((a, c))
                 least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, U)
                 for lo in range(0, len(s), 512):
                     np.minimum(least, (s[lo : lo + 512, None] * _MULTIPLIERS + _ADDENDS).min(0), out=least)
@@ -158,6 +163,51 @@ def candidates(prints: DataFrame) -> DataFrame:
     return found.filter("dst is not null").select("src", "dst").unionByName(spark.createDataFrame(over, "src long, dst long"))
 
 
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each minhash."""
+    for b in batches:
+        lab = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8)[::4].reshape(-1, TREES * DEPTH)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in lab], pa.binary())], ["a", "b", "sketch"])
+
+
+def _likely(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Divides the bundles that lie one after the other into parts connected by pairs that agree in enough minhashes; a
+    pair of the wanted similarity falls short by chance once in a hundred million."""
+    share = percent / 100
+    least = TREES * DEPTH * (share - 5.6 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5)
+
+    def parts(held: dict) -> list[tuple]:
+        keys = list(held)
+        marks = np.stack([np.frombuffer(m, np.uint8) for _, m in held.values()])
+        label = np.arange(len(keys))
+        for i in range(len(keys) - 1):
+            for j in (np.flatnonzero((marks[i + 1 :] == marks[i]).sum(1) >= least) + i + 1).tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+        size = np.bincount(label, minlength=len(keys))
+        name: dict = {}
+        for x, k in zip(label.tolist(), keys):
+            name[x] = min(name.get(x, k[0]), k[0])
+        return [(name[x], int(size[x]), *k, held[k][0]) for x, k in zip(label.tolist(), keys) if size[x] > 1]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["bundle", "size", "k1", "k2", "id"])
+
+    held: dict = {}
+    now = None
+    for b in batches:
+        rows: list[tuple] = []
+        for bundle, k1, k2, i, mark in zip(*(c.to_pylist() for c in b.columns)):
+            if bundle != now and held:
+                rows += parts(held)
+                held = {}
+            now = bundle
+            held[k1, k2] = (i, mark)
+        yield out(rows)
+    if held:
+        yield out(parts(held))
+
+
 def linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:
     """Component labels after joining all pairs of sets of at least that similarity whose labels differ."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -220,8 +270,9 @@ def _confirm(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Ite
 
 def _compare(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``groups``: bundle, block, k1, k2, id, comp. Texts go to the groups they are in; nothing else is moved."""
-    texts = docs.select(F.col("id").alias("i"), "text")
-    rows = groups.join(texts, F.col("id").eqNullSafe(F.col("i"))).select("bundle", "block", "k1", "k2", "comp", "text")
+    groups = materialize(groups)
+    texts = perhaps_in(docs, "id", groups.select("id").distinct()).select(F.col("id").alias("i"), "text")
+    rows = texts.join(small(groups), F.col("id").eqNullSafe(F.col("i"))).select("bundle", "block", "k1", "k2", "comp", "text")
     rows = rows.repartition("bundle", "block").sortWithinPartitions("bundle", "block")
     return materialize(rows.mapInArrow(lambda it: _confirm(it, width, percent), "a1 long, a2 long, b1 long, b2 long"))
 
@@ -230,23 +281,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, n_shingles, component_id, kept``, one row per input row."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(slim.mapInArrow(lambda it: _prints(it, width), "id long, n long, k1 long, k2 long, label binary"))
-    sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by("label", F.coalesce("id", F.lit(0))).alias("label")))
-    bundles = connected_components(candidates(sets)).select(F.col("node").alias("k1"), F.col("component").alias("bundle"))
+    sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")))
+    bundles = materialize(connected_components(candidates(rows.filter("label is not null"))).select(F.col("node").alias("k1"), F.col("component").alias("bundle")))
     sized = materialize(bundles.groupBy("bundle").agg(F.count("*").alias("size")))
-    members = materialize(
-        sets.drop("label").join(bundles, "k1").join(sized, "bundle")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40)))
-    )
+    every = materialize(sets.join(small(bundles), "k1").join(small(sized), "bundle").select("bundle", "size", "k1", "k2", "id"))
+    labels = perhaps_in(rows.filter("label is not null").select("k1", "k2", "label"), "k1", every.filter(F.col("size") <= BLOCK).select("k1"))
+    marks = labels.mapInArrow(_sketches, "a long, b long, sketch binary")
+    likely = every.filter(F.col("size") <= BLOCK).join(marks, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select("bundle", "k1", "k2", "id", "sketch")
+    likely = likely.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(lambda it: _likely(it, percent), "bundle long, size long, k1 long, k2 long, id long")
+    members = every.filter(F.col("size") > BLOCK).unionByName(likely)
+    members = materialize(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40))))
     pivot = (F.col("blocks") > 1) & (F.col("at") < F.lit(float(1 << 40)) * PIVOTS / F.col("size"))
     own = F.pmod("at", F.col("blocks")).cast("int")
     places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     groups = members.select("bundle", F.explode(places).alias("block"), "k1", "k2", "id", F.lit(None).cast("long").alias("comp"))
     links = _compare(groups, slim, width, percent)
-    comp = _resolve(members, links)
-    # bundles of several blocks: what is not in the largest component meets every block
+    # in a bundle of one block the links are stars already
     wide = members.filter("blocks > 1")
+    roots = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("b1").alias("comp"), F.col("b2").alias("comp_2"))
     if wide.take(1):
+        keys = small(materialize(wide.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"))))
+        of_wide = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
+        mine = roots.join(keys, of_wide, "left_semi")
+        comp = _resolve(mine)
+        # what is not in the largest component of such a bundle meets every block
         wide = wide.join(comp, ["k1", "k2"], "left").withColumn("comp", F.coalesce("comp", "k1"))
         per = wide.groupBy("bundle", "comp").agg(F.count("*").alias("n"))
         main = per.groupBy("bundle").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
@@ -258,27 +316,33 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = as_member.unionByName(as_rest).distinct().select("bundle", (F.col("x").cast("long") * (1 << 31) + F.col("y")).alias("block"), "k1", "k2", "id", "comp")
         more = _compare(both, slim, width, percent)
         if more.take(1):
-            comp = _resolve(members, links.unionByName(more))
-    ids = sets.select("k1", "k2", F.col("id").alias("set_id")).join(comp, ["k1", "k2"], "left")
-    ids = materialize(ids.withColumn("comp1", F.coalesce("comp", "k1")).withColumn("comp2", F.coalesce("comp_2", "k2")))
-    least = ids.groupBy("comp1", "comp2").agg(F.min("set_id").alias("component"))
-    known = ids.select("k1", "k2", "comp1", "comp2").join(least, ["comp1", "comp2"]).drop("comp1", "comp2")
+            comp = _resolve(mine.unionByName(more.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("b1").alias("comp"), F.col("b2").alias("comp_2"))))
+        roots = roots.join(keys, of_wide, "left_anti").unionByName(comp)
+    # a root stands for itself
+    roots = materialize(roots.unionByName(roots.select(F.col("comp").alias("k1"), F.col("comp_2").alias("k2"), "comp", "comp_2")).distinct())
+    groups = sets.join(small(roots), ["k1", "k2"]).select("k1", "k2", "comp", "comp_2", "id")
+    least = groups.groupBy("comp", "comp_2").agg(F.min("id").alias("component"))
+    found = materialize(roots.join(least, ["comp", "comp_2"]).select("k1", "k2", "component"))
+    known = sets.join(small(found.withColumn("in", F.lit(True))), ["k1", "k2"], "left").select("k1", "k2", F.when(F.col("in"), F.col("component")).otherwise(F.col("id")).alias("component"))
     full = rows.drop("label").join(known, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _resolve(members: DataFrame, links: DataFrame) -> DataFrame:
+def _resolve(roots: DataFrame) -> DataFrame:
     """``k1, k2`` of the linked sets with ``comp, comp_2``, the keys of one set of their component."""
     node = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
-    e = links.select(node("a1", "a2").alias("src"), node("b1", "b2").alias("dst"))
+    e = roots.select(node("k1", "k2").alias("src"), node("comp", "comp_2").alias("dst"))
     return materialize(connected_components(e).select("node.k1", "node.k2", F.col("component.k1").alias("comp"), F.col("component.k2").alias("comp_2")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without near duplicates of one with a smaller id; same columns. Rows that repeat a kept id all stay."""
-    kept = components(docs, id_col=id_col, **options).filter("kept").select(F.col("doc_id").alias("_kept_")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_")), "left_semi")
+    """The documents without near duplicates of one with a smaller id; same columns. An id goes if none of its rows is kept."""
+    found = components(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("kept").alias("any"))
+    gone = materialize(found.filter("not any").select(F.col("doc_id").alias("_gone_")))
+    rows = flag_perhaps(docs, id_col, gone, "_perhaps_")
+    left = rows.filter("_perhaps_").join(gone, F.col(id_col).eqNullSafe(F.col("_gone_")), "left_anti")
+    return rows.filter("not _perhaps_").unionByName(left).drop("_perhaps_")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
