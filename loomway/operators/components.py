@@ -15,7 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
     out = both.join(least, F.col("u") == F.col("c"))
     if large:
-        return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
