@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = known.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / max(1, n))))
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("d") == F.col("i")).select("text", F.col("y").cast("int").alias("y"), "d")
     rows = rows.repartition(1).sortWithinPartitions("d").drop("d")  # the sample's bound is that of this task
-    return np.frombuffer(rows.mapInArrow(_fit, "w binary").first()["w"], "<f4").astype(np.float64)
+    found = rows.mapInArrow(_fit, "w binary").first()
+    return np.frombuffer(found["w"], "<f4").astype(np.float64) if found else train(pa.array([], pa.string()), np.zeros(0, bool))
 
 
 def _score(batches: Iterable[pa.RecordBatch], w: np.ndarray, spans: bool) -> Iterator[pa.RecordBatch]:
