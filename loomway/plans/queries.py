@@ -52,26 +52,26 @@ def _ms(c: Column) -> Column:
 @query(_sssp_sql())
 def sssp(spark, sf_dir):
     """Fastest time from place 0 to every place that can be reached."""
-    return search(directed(spark, sf_dir), _from_zero(spark)).select("v", _ms(F.col("cost")))
+    return search(directed(spark, sf_dir), _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
 
 
 @query(_sssp_sql(weight="(e.ms::BIGINT * CASE WHEN e.tolls > 0 THEN 1000000 ELSE 1 END)"))
 def sssp_tolls(spark, sf_dir):
     """The same with tolls avoided where possible: penalised cost."""
-    return search(directed(spark, sf_dir), _from_zero(spark), avoid_tolls=_from_zero(spark).select("query_id")).select("v", _ms(F.col("cost")))
+    return search(directed(spark, sf_dir), _from_zero(spark), avoid_tolls=_from_zero(spark).select("query_id"), paths=False).select("v", _ms(F.col("cost")))
 
 
 @query(_sssp_sql("NOT e.acc"))
 def sssp_access(spark, sf_dir):
     """The same on roads open to all."""
-    return search(directed(spark, sf_dir).filter("not access_only"), _from_zero(spark)).select("v", _ms(F.col("cost")))
+    return search(directed(spark, sf_dir).filter("not access_only"), _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
 
 
 @query(_sssp_sql("e.dist_m % 4 <> 0"))
 def sssp_conditional_no_clock(spark, sf_dir):
     """Conditional roads without a clock are closed."""
     e = directed(spark, sf_dir).withColumn("condition", F.when(F.col("dist_m") % 4 == 0, CONDITION))
-    return search(e, _from_zero(spark)).select("v", _ms(F.col("cost")))
+    return search(e, _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
 
 
 @query(_sssp_sql("NOT e.acc"))
@@ -79,7 +79,7 @@ def ch_routes(spark, sf_dir):
     """The hierarchy's times from place 0, on roads open to all."""
     h = contract(directed(spark, sf_dir), 4)
     to = h.ranks.select(F.lit(0).cast("long").alias("query_id"), "v").unionByName(_from_zero(spark)).distinct()
-    return meet(h, _from_zero(spark), to).select(F.col("target").alias("v"), _ms(F.col("time_s")))
+    return meet(h, _from_zero(spark), to, paths=False).select(F.col("target").alias("v"), _ms(F.col("time_s")))
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, q AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) a, o_orderkey % (SELECT count(*) FROM supplier) b FROM orders),
@@ -90,7 +90,7 @@ def point_routes(spark, sf_dir):
     """A trip for every order; trips from one place share a search."""
     n = table(spark, sf_dir, "supplier").count()
     q = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % n).cast("long").alias("a"), (F.col("o_orderkey") % n).cast("long").alias("b"))
-    ends = search(directed(spark, sf_dir), q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct())
+    ends = search(directed(spark, sf_dir), q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct(), paths=False)
     return q.join(ends.select(F.col("query_id").alias("a"), F.col("v").alias("b"), "cost"), ["a", "b"], "left").select("o_orderkey", "a", "b", _ms(F.col("cost")))
 
 
