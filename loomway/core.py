@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process chose itself and removes when it ends.
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, through Spark's reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. One of our own is set only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", f"loomway-{os.getuid()}")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints", f"loomway-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
+        if found not in _OWN:
+            _OWN.add(found)
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
