@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names what this process writes, so that it can be removed when the process ends.
+_RUN = uuid.uuid4().hex
+_SEEN: set[str] = set()
 
-#: Folders that this process chose itself and removes when it ends.
-_OWN: set[str] = set()
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; then the folder's owner cleans up
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. One of our own is set only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", f"loomway-{os.getpid()}")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints", f"loomway-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", found)
-        if found not in _OWN:
-            _OWN.add(found)
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomway/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/loomway/{_RUN}"
+    if base not in _SEEN:
+        _SEEN.add(base)
+        atexit.register(_remove, spark, base)
+    path = f"{base}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
