@@ -35,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def sliced(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def sliced(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, their bytes and the offsets of the rows in them, at most about ``most`` bytes or one row at a time."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

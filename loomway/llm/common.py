@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import materialize
@@ -16,6 +16,13 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 50_000
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get whole texts in batches of at most so many rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -13,6 +13,7 @@ carried along untouched.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import materialize, table
+from .common import modest_batches
 
 SPACES = b" \t\n\x0b\x0c\r"
 U = np.uint64
@@ -108,8 +110,6 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, least: int, min_
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    import pickle
-
     none = pdf["keeper"].isna().to_numpy()
     s = Shard(pdf["k1"].to_numpy().astype(np.int64).view(U), pdf["k2"].to_numpy().astype(np.int64).view(U), pdf["n"].to_numpy(), pdf["keeper"].fillna(0).to_numpy().astype(np.int64), none)
     return pd.DataFrame({"shard": [int(key[0])], "index": [pickle.dumps(s)]})
@@ -150,6 +150,7 @@ def _probe(batches: Iterable[pa.RecordBatch], index: dict, shards: int, least: i
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, min_docs: int = 5, shard_keys: int = 50_000, group_bytes: int = 64 << 20) -> DataFrame:
     """``row`` (the input row as a struct), ``n_lines``, ``n_dropped`` and ``kept_text``."""
     spark = docs.sparkSession
+    modest_batches(spark)
     found = materialize(frequent_lines(docs, id_col, text_col, least, min_docs))
     n = found.count()
     shards = max(1, -(-n // shard_keys))
@@ -159,8 +160,6 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = max(1, group_bytes // (48 * shard_keys))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(None).cast("array<int>").alias("_gone"))
     for lo in range(0, shards, per):
-        import pickle
-
         group = {r["shard"]: pickle.loads(r["index"]) for r in built.filter(F.col("shard").between(lo, lo + per - 1)).toLocalIterator()}
         if not group:
             continue

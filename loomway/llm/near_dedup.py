@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..core import materialize, table
 from ..operators.components import connected_components
 from .bytesvec import LOWER, U, mix, prefix, sliced, stretch, words
-from .common import flag_perhaps, perhaps_in, small
+from .common import flag_perhaps, modest_batches, perhaps_in, small
 
 TREES, DEPTH, BASE, REGION = 40, 6, 4, 50
 BLOCK, PIVOTS = 256, 16
@@ -279,6 +279,7 @@ def _compare(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row."""
+    modest_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(slim.mapInArrow(lambda it: _prints(it, width), "id long, n long, k1 long, k2 long, label binary"))
     sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")))
