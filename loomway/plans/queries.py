@@ -127,6 +127,15 @@ def components(spark, sf_dir):
     return connected_components(directed(spark, sf_dir).filter("dist_m % 3 = 0"))
 
 
+@query(f"""WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e),
+r(v, m) USING KEY (v) AS (SELECT DISTINCT a::BIGINT, a::BIGINT FROM u UNION
+    (SELECT u.b::BIGINT, min(r.m)::BIGINT FROM r JOIN u ON u.a = r.v LEFT JOIN recurring.r k ON k.v = u.b WHERE k.m IS NULL OR r.m < k.m GROUP BY u.b))
+SELECT v AS node, m AS component FROM r""")
+def network_components(spark, sf_dir):
+    """Weak components of the whole network."""
+    return connected_components(directed(spark, sf_dir))
+
+
 _SUB = f"""{EDGES_SQL}, s AS (SELECT * FROM e WHERE k % 3 <> 0),
 dg AS (SELECT v, sum(o) n_out, sum(i) n_in, list_sort(list_distinct(list(w) FILTER (o = 1))) outs, list_sort(list_distinct(list(w) FILTER (i = 1))) ins
     FROM (SELECT src v, dst w, 1 o, 0 i FROM s UNION ALL SELECT dst, src, 0, 1 FROM s) GROUP BY v),

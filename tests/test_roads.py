@@ -12,7 +12,9 @@ from loomway.operators.compress import compress
 from loomway.operators.components import connected_components
 from loomway.operators.spatial import nearest, within
 from loomway.operators.split import orphaned_exits, split
+from loomway.plans import queries
 from loomway.plans.router import Router, query_rows
+from loomway.sources.derived import directed
 
 
 def edge(a, b, m=111.0, kmh=50.0, **more):
@@ -90,6 +92,24 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def derived(spark, tmp_path, places, parts):
+    """The folder of a small derived network."""
+    spark.createDataFrame([(i, i % 5) for i in places], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, k % 50) for k in parts], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_components_of_the_whole_network(spark, tmp_path):
+    d = derived(spark, tmp_path, range(40), [k for k in range(80) if k % 10 not in (1, 3, 4, 6)])
+    roads = [(r["src"], r["dst"]) for r in directed(spark, d).collect()]
+    least = {v: v for e in roads for v in e}
+    for _ in least:
+        for a, b in roads:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["component"] for r in queries.Q["network_components"](spark, d).collect()}
+    assert got == least and len(set(got.values())) > 1
+
+
 def test_snapping_equals_a_scan(spark):
     g = build(grid(spark, 6))
     probes = [(i, -23.52 + (i * 37 % 100) * 0.0010007, -46.73 + (i * 53 % 100) * 0.0012) for i in range(80)] + [(80, -20.0, -40.0), (81, None, 1.0)]
