@@ -110,6 +110,31 @@ def test_components_of_the_whole_network(spark, tmp_path):
     assert got == least and len(set(got.values())) > 1
 
 
+def test_chains_of_the_whole_network(spark, tmp_path):
+    d = derived(spark, tmp_path, range(40), [k for k in range(80) if k % 10 not in (1, 3, 4, 6)])
+    outs, ins = {}, {}
+    for r in directed(spark, d).collect():
+        outs.setdefault(r["src"], []).append((r["dst"], r["dist_m"]))
+        ins.setdefault(r["dst"], []).append(r["src"])
+    inner = set()
+    for v in outs.keys() & ins.keys():
+        to, back = sorted(w for w, _ in outs[v]), sorted(ins[v])
+        if (len(to) == 2 and to == back) or (len(to) == len(back) == 1 and to != back):
+            inner.add(v)
+    chains = []
+    for v in outs.keys() - inner:
+        for w, m in outs[v]:
+            before, at, n = v, w, 0
+            while at in inner:
+                (nxt, more), *_ = [x for x in outs[at] if x[0] != before]
+                before, at, m, n = at, nxt, m + more, n + 1
+            if at != v:
+                chains.append((v, at, m, n))
+    assert inner and {r["v"] for r in queries.Q["network_contractible_places"](spark, d).collect()} == inner
+    got = queries.Q["network_chains"](spark, d).select("src", "dst", "dist_m", "n_passed").collect()
+    assert sorted(map(tuple, got)) == sorted(chains)
+
+
 def test_snapping_equals_a_scan(spark):
     g = build(grid(spark, 6))
     probes = [(i, -23.52 + (i * 37 % 100) * 0.0010007, -46.73 + (i * 53 % 100) * 0.0012) for i in range(80)] + [(80, -20.0, -40.0), (81, None, 1.0)]
