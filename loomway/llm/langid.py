@@ -2,7 +2,7 @@
 
 Each word of a document is emitted by one of the languages, with the likelihood of its byte trigrams there; expectation
 maximisation estimates the document's proportions of languages. The set of languages is chosen by penalised likelihood
-among the likeliest one, two and three. The language with the largest proportion is predicted, its proportion the score.
+among the likeliest one, two and so on up to all that were learned. The language with the largest proportion is predicted, its proportion the score.
 
 Trigram counts come from a bounded sample of documents per language (``TRAIN_DOCS``, drawn by a hash of the id).
 
@@ -26,7 +26,7 @@ from .common import small
 from .toxicity import fold
 
 TRAIN_DOCS, FOLDS = 1500, 3
-BITS, SMOOTH, ROUNDS, MOST, PENALTY = 16, 0.5, 8, 3, 3.0
+BITS, SMOOTH, ROUNDS, PENALTY = 16, 0.5, 8, 3.0
 UNKNOWN = "und"
 #: Letters in lower case; all else that is ASCII is a space.
 LETTER = np.full(256, 32, np.uint8)
@@ -80,20 +80,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return names, np.log(n / n.sum(1, keepdims=True)) if names else n
 
 
-def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the allowed languages in each of n documents, and the log-likelihood; like: words x languages."""
+def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, *rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Proportions of the allowed languages in each of n documents, and the log-likelihood, after each of these numbers
+    of rounds, which ascend; like: words x languages."""
+    found = []
     starts = np.searchsorted(doc, np.arange(n))
     some = starts < np.append(starts[1:], len(doc))
     pi = allowed / allowed.sum(1, keepdims=True)
     mass = np.maximum(np.bincount(doc, weight, n), 1)[:, None]
-    for i in range(rounds + 1):
+    for i in range(rounds[-1] + 1):
         with np.errstate(divide="ignore"):
             a = like + np.log(pi)[doc]
         top = a.max(1)
         np.exp(a - top[:, None], out=a)
         total = a.sum(1)
-        if i == rounds:
-            return pi, np.bincount(doc, np.log(total) + top, n)
+        if i in rounds:
+            found.append((pi, np.bincount(doc, np.log(total) + top, n)))
+            if i == rounds[-1]:
+                return found
         a *= (weight / total)[:, None]
         new = np.zeros_like(pi)
         new[some] = np.add.reduceat(a, starts[some])
@@ -113,15 +117,15 @@ def _predict(batches: Iterable[pa.RecordBatch], names: list[str], like: np.ndarr
             per = np.stack([np.bincount(word, like[i][bucket], len(row)) for i in range(k)], 1)
             weight = np.bincount(word, minlength=len(row)).astype(float)
             n = hi - lo
-            pi, _ = mixture(per, weight, row, n, np.ones((n, k)), ROUNDS)
+            whole, (pi, _) = mixture(per, weight, row, n, np.ones((n, k)), ROUNDS // 2, ROUNDS)
             order = np.argsort(-pi, 1, kind="stable")
             best, cost = pi, np.full(n, np.inf)
             used = np.zeros(n, np.int32)
             m = np.maximum(np.bincount(row, minlength=n), 2)
-            for size in range(1, min(MOST, k) + 1):
+            for size in range(1, k + 1):
                 allowed = np.zeros((n, k))
                 np.put_along_axis(allowed, order[:, :size], 1, 1)
-                part, fit_ = mixture(per, weight, row, n, allowed, ROUNDS // 2 if size > 1 else 0)
+                part, fit_ = whole if size == k else mixture(per, weight, row, n, allowed, ROUNDS // 2 if size > 1 else 0)[0]
                 c = -fit_ + PENALTY * (size - 1) * np.log(m)
                 won = c < cost
                 best, cost, used = np.where(won[:, None], part, best), np.where(won, c, cost), np.where(won, size, used)

@@ -201,3 +201,17 @@ def test_languages(docs):
     none = d.withColumn("lang", F.lit(None).cast("string"))
     assert {x["lang_pred"] for x in langid.predict(none, langid.fit(none)).collect()} == {"und"}
     assert langid.predict(d.limit(0), langid.fit(d)).count() == 0
+
+
+def test_more_than_three_languages(docs):
+    r = random.Random(4)
+    sound = dict(zip("abcdef", (["ba", "bo"], ["kru", "kri"], ["zez", "zuz"], ["myn", "mly"], ["gha", "ghe"], ["pst", "pfo"])))
+    say = lambda g, n: " ".join("".join(r.choices(sound[g], k=r.randint(2, 4))) for _ in range(n))
+    rows = [(i, say(g, 40), g, None, None) for i in range(1, 180) for g in [list(sound)[i % 6]]]
+    parts = {900 + k: [say(g, 60) for g in list(sound)[:k]] for k in range(1, 7)}
+    mixed = {i: " ".join(p) for i, p in parts.items()}
+    d = docs(*rows, *((i, t, None, None, None) for i, t in mixed.items()))
+    got = {x["doc_id"]: x for x in langid.predict(d, langid.fit(d)).collect()}
+    assert [got[900 + k]["n_langs"] for k in range(1, 7)] == [1, 2, 3, 4, 5, 6]
+    letters = lambda t: len(t.replace(" ", ""))
+    assert all(abs(got[i]["score"] - max(map(letters, p)) / letters(mixed[i])) < 0.05 for i, p in parts.items())
