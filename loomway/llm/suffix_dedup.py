@@ -1,5 +1,5 @@
-"""Repeated passages by bucket-pointer refinement over sampled suffixes: every byte of a string of ``width`` bytes that
-also starts earlier is removed.
+"""Repeated passages by window fingerprints at sampled anchors, in place of bucket-pointer refinement (see the README): every
+byte of a string of ``width`` bytes that also starts earlier is removed. Bucket identifiers are hashes, not ranks.
 
 1. Any ``width`` bytes have a minimal q-gram (the leftmost of least hash), and equal strings have it at the same place:
    only suffixes at these anchors are sorted, about one position in 37. Their q-grams are the initial buckets.
