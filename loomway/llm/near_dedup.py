@@ -5,13 +5,12 @@
    neighbours whose common prefix is as long as their region asks for are candidates. A region of equal prefixes
    asks for one more minhash as long as it holds more than ``REGION`` sets.
 3. Connected candidates form a bundle; bundles hold every pair that could be linked, up to the chance that a pair
-   shares no prefix in any tree. Bundles of one block are divided where all of their signatures disagree too much for a
-   link. Within bundles all pairs are compared in full, unless already connected: bundles are
+   shares no prefix in any tree. Within bundles all pairs are compared in full, unless already connected: bundles are
    cut into blocks of bounded size, each block with the bundle's pivots in one task, and what is then not in the
    bundle's largest component meets all of its blocks. No pair is capped or sampled away.
 4. Confirmed links give the components.
 
-At depth 4 a pair of similarity 0.8 shares no prefix with probability 5e-10, at depth 6 (regions of over ``REGION``) 5e-6.
+At depth 4 a pair of similarity 0.8 shares no prefix with probability 7e-10, at depth 6 (regions of over ``REGION``) 5e-6.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a null id is never the
 smallest, its rows have the component of their group, null if no id is there; rows that repeat an id are the same
@@ -163,51 +162,6 @@ def candidates(prints: DataFrame) -> DataFrame:
     return found.filter("dst is not null").select("src", "dst").unionByName(spark.createDataFrame(over, "src long, dst long"))
 
 
-def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of each minhash."""
-    for b in batches:
-        lab = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8)[::4].reshape(-1, TREES * DEPTH)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in lab], pa.binary())], ["a", "b", "sketch"])
-
-
-def _likely(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Divides the bundles that lie one after the other into parts connected by pairs that agree in enough minhashes; a
-    pair of the wanted similarity falls short by chance once in a hundred million."""
-    share = percent / 100
-    least = TREES * DEPTH * (share - 5.6 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5)
-
-    def parts(held: dict) -> list[tuple]:
-        keys = list(held)
-        marks = np.stack([np.frombuffer(m, np.uint8) for _, m in held.values()])
-        label = np.arange(len(keys))
-        for i in range(len(keys) - 1):
-            for j in (np.flatnonzero((marks[i + 1 :] == marks[i]).sum(1) >= least) + i + 1).tolist():
-                if label[i] != label[j]:
-                    label[label == label[j]] = label[i]
-        size = np.bincount(label, minlength=len(keys))
-        name: dict = {}
-        for x, k in zip(label.tolist(), keys):
-            name[x] = min(name.get(x, k[0]), k[0])
-        return [(name[x], int(size[x]), *k, held[k][0]) for x, k in zip(label.tolist(), keys) if size[x] > 1]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["bundle", "size", "k1", "k2", "id"])
-
-    held: dict = {}
-    now = None
-    for b in batches:
-        rows: list[tuple] = []
-        for bundle, k1, k2, i, mark in zip(*(c.to_pylist() for c in b.columns)):
-            if bundle != now and held:
-                rows += parts(held)
-                held = {}
-            now = bundle
-            held[k1, k2] = (i, mark)
-        yield out(rows)
-    if held:
-        yield out(parts(held))
-
-
 def linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:
     """Component labels after joining all pairs of sets of at least that similarity whose labels differ."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -286,12 +240,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bundles = materialize(connected_components(candidates(rows.filter("label is not null"))).select(F.col("node").alias("k1"), F.col("component").alias("bundle")))
     sized = materialize(bundles.groupBy("bundle").agg(F.count("*").alias("size")))
     every = materialize(sets.join(small(bundles), "k1").join(small(sized), "bundle").select("bundle", "size", "k1", "k2", "id"))
-    labels = perhaps_in(rows.filter("label is not null").select("k1", "k2", "label"), "k1", every.filter(F.col("size") <= BLOCK).select("k1"))
-    marks = labels.mapInArrow(_sketches, "a long, b long, sketch binary")
-    likely = every.filter(F.col("size") <= BLOCK).join(marks, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select("bundle", "k1", "k2", "id", "sketch")
-    likely = likely.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(lambda it: _likely(it, percent), "bundle long, size long, k1 long, k2 long, id long")
-    members = every.filter(F.col("size") > BLOCK).unionByName(likely)
-    members = materialize(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40))))
+    members = materialize(every.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40))))
     pivot = (F.col("blocks") > 1) & (F.col("at") < F.lit(float(1 << 40)) * PIVOTS / F.col("size"))
     own = F.pmod("at", F.col("blocks")).cast("int")
     places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,17 @@ def test_passages_with_odd_ids(docs):
     assert sorted(((x["doc_id"], x["n_removed"]) for x in got), key=str) == sorted([(2, 0), (3, len(a)), (3, len(a)), (None, len(a))], key=str)
     assert {x["kept"] for x in got if x["doc_id"] == 2} == {a.encode()}
     assert suffix_dedup.remove_repeats(docs("a").limit(0)).count() == 0
+
+
+def test_near_pair_with_unlucky_minhashes(docs):
+    pool = [f"w{i}" for i in range(3000)]
+    h = np.concatenate(list(near_dedup.shingle_sets(pa.array(pool), 1)))
+    v = h[:, None] * near_dedup._MULTIPLIERS + near_dedup._ADDENDS
+    least, own = v[:80].min(0), []
+    for _ in range(20):  # words that are the least of as many minhashes as possible
+        own.append(80 + int((v[80:] < least).sum(1).argmax()))
+        least = np.minimum(least, v[own[-1]])
+    assert (least == v[:80].min(0)).sum() < 158
+    texts = [" ".join(pool[:80] + [pool[i] for i in own]), " ".join(pool[:80])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.components(docs(*texts), width=1).collect()}
+    assert got == {1: 1, 2: 1}
