@@ -7,12 +7,15 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Names what this process writes, so that it can be removed when the process ends.
 _RUN = uuid.uuid4().hex
 _SEEN: set[str] = set()
+#: Folders written inside each open ``scratch`` block, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -28,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. One of our own is set only where the session names none."""
+    """The folder all executors see. One of our own is set only on a local master; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", f"loomway-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,4 +50,27 @@ def materialize(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomway_path = path
+    return out
+
+
+def forget(*written: DataFrame | None) -> None:
+    """Remove what ``materialize`` wrote for these; nothing that reads them may run afterwards. Other frames are let be."""
+    for df in written:
+        path = getattr(df, "_loomway_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is removed at the end: for callers that write their result before they leave."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)

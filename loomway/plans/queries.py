@@ -120,38 +120,29 @@ def graph_counts(spark, sf_dir):
     return build(network(spark, sf_dir)).describe()
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src a, dst b FROM e WHERE dist_m % 3 = 0 UNION SELECT dst, src FROM e WHERE dist_m % 3 = 0),
-r(v, w) AS (SELECT a, a FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w) SELECT v AS node, min(w) AS component FROM r GROUP BY v""")
-def components(spark, sf_dir):
-    """Weak components of every third road."""
-    return connected_components(directed(spark, sf_dir).filter("dist_m % 3 = 0"))
-
-
 @query(f"""WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e),
 r(v, m) USING KEY (v) AS (SELECT DISTINCT a::BIGINT, a::BIGINT FROM u UNION
     (SELECT u.b::BIGINT, min(r.m)::BIGINT FROM r JOIN u ON u.a = r.v LEFT JOIN recurring.r k ON k.v = u.b WHERE k.m IS NULL OR r.m < k.m GROUP BY u.b))
 SELECT v AS node, m AS component FROM r""")
-def network_components(spark, sf_dir):
+def components(spark, sf_dir):
     """Weak components of the whole network."""
     return connected_components(directed(spark, sf_dir))
 
 
-def _inner_sql(where: str) -> str:
-    return f"""{EDGES_SQL}, s AS (SELECT * FROM e WHERE {where}),
+_INNER = f"""{EDGES_SQL}, s AS (SELECT * FROM e),
 dg AS (SELECT v, sum(o) n_out, sum(i) n_in, list_sort(list_distinct(list(w) FILTER (o = 1))) outs, list_sort(list_distinct(list(w) FILTER (i = 1))) ins
     FROM (SELECT src v, dst w, 1 o, 0 i FROM s UNION ALL SELECT dst, src, 0, 1 FROM s) GROUP BY v),
 inner_ AS (SELECT v FROM dg WHERE NOT list_contains(outs, v) AND ((n_out = 2 AND n_in = 2 AND len(outs) = 2 AND outs = ins) OR (n_out = 1 AND n_in = 1 AND outs[1] <> ins[1])))"""
 
 
-def _chains_sql(where: str) -> str:
-    return f"""WITH RECURSIVE {_inner_sql(where)}, w(src, prev, cur, dist_m, ms, tolls, acc, n) AS (
+_CHAINS = f"""WITH RECURSIVE {_INNER}, w(src, prev, cur, dist_m, ms, tolls, acc, n) AS (
     SELECT src, src, dst, dist_m, ms, tolls, acc, 0 FROM s WHERE src NOT IN (SELECT v FROM inner_)
     UNION ALL SELECT w.src, w.cur, s.dst, w.dist_m + s.dist_m, w.ms + s.ms, w.tolls + s.tolls, w.acc OR s.acc, w.n + 1 FROM w JOIN s ON s.src = w.cur AND s.dst <> w.prev WHERE w.cur IN (SELECT v FROM inner_))
 SELECT src, cur AS dst, dist_m::DOUBLE AS dist_m, ms::BIGINT AS time_ms, tolls, acc AS access_only, n::INT AS n_passed FROM w WHERE cur NOT IN (SELECT v FROM inner_) AND src <> cur"""
 
 
-def _roads(spark, sf_dir, where: str = "true") -> RoadGraph:
-    e = directed(spark, sf_dir).withColumn("k", F.floor(F.col("edge_id") / 2)).filter(where).drop("k", "ms").withColumn("geom", F.array().cast("array<struct<lat:double,lon:double>>"))
+def _roads(spark, sf_dir) -> RoadGraph:
+    e = directed(spark, sf_dir).drop("ms").withColumn("geom", F.array().cast("array<struct<lat:double,lon:double>>"))
     v = places(spark, sf_dir).select(F.col("id").alias("v"), F.col("id").alias("original_id"), "lat", "lon", F.lit(None).cast("long").alias("split_parent"))
     return RoadGraph(v, e)
 
@@ -163,26 +154,14 @@ def _chains(graph: RoadGraph) -> DataFrame:
     return e.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "dist_m", _ms(F.col("time_s")), "tolls", "access_only", F.size("geom").alias("n_passed"))
 
 
-@query(f"WITH {_inner_sql('k % 3 <> 0')} SELECT v FROM inner_")
+@query(f"WITH {_INNER} SELECT v FROM inner_")
 def contractible_places(spark, sf_dir):
-    """Two of three roads."""
-    return contractible(_roads(spark, sf_dir, "k % 3 <> 0"))
-
-
-@query(_chains_sql("k % 3 <> 0"))
-def compress_chains(spark, sf_dir):
-    """Two of three roads."""
-    return _chains(_roads(spark, sf_dir, "k % 3 <> 0"))
-
-
-@query(f"WITH {_inner_sql('true')} SELECT v FROM inner_")
-def network_contractible_places(spark, sf_dir):
     """The whole network."""
     return contractible(_roads(spark, sf_dir))
 
 
-@query(_chains_sql("true"))
-def network_chains(spark, sf_dir):
+@query(_CHAINS)
+def compress_chains(spark, sf_dir):
     """The whole network, compressed."""
     return _chains(_roads(spark, sf_dir))
 

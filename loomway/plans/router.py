@@ -26,11 +26,6 @@ def query_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple((DEFAULTS | r)[f.split()[0]] for f in QUERIES.split(", ")) for r in rows], QUERIES)
 
 
-def ranked(routes: DataFrame) -> DataFrame:
-    """Order among routes: found ones first, then fewer tolls, then shorter."""
-    return routes.orderBy(F.desc("found"), "toll_count", "distance_m")
-
-
 @dataclass
 class Router:
     """``strategy``: ``frontier`` or ``hierarchy``; both give the same routes. Clocked, toll-avoiding and alternative

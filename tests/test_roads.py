@@ -106,7 +106,7 @@ def test_components_of_the_whole_network(spark, tmp_path):
     for _ in least:
         for a, b in roads:
             least[a] = least[b] = min(least[a], least[b])
-    got = {r["node"]: r["component"] for r in queries.Q["network_components"](spark, d).collect()}
+    got = {r["node"]: r["component"] for r in queries.Q["components"](spark, d).collect()}
     assert got == least and len(set(got.values())) > 1
 
 
@@ -130,8 +130,8 @@ def test_chains_of_the_whole_network(spark, tmp_path):
                 before, at, m, n = at, nxt, m + more, n + 1
             if at != v:
                 chains.append((v, at, m, n))
-    assert inner and {r["v"] for r in queries.Q["network_contractible_places"](spark, d).collect()} == inner
-    got = queries.Q["network_chains"](spark, d).select("src", "dst", "dist_m", "n_passed").collect()
+    assert inner and {r["v"] for r in queries.Q["contractible_places"](spark, d).collect()} == inner
+    got = queries.Q["compress_chains"](spark, d).select("src", "dst", "dist_m", "n_passed").collect()
     assert sorted(map(tuple, got)) == sorted(chains)
 
 
