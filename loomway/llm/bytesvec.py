@@ -1,4 +1,7 @@
-"""Texts of an Arrow batch as one array of bytes: words and rolling hashes without a Python loop over words."""
+"""Texts of an Arrow batch as one array of bytes: words and rolling hashes without a Python loop over words.
+
+A null text is an empty one throughout: it has no bytes and no words. An empty column gives no slices.
+"""
 
 from __future__ import annotations
 
@@ -51,10 +54,14 @@ def sliced(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Sums whose differences, times an inverse power, are hashes of stretches of bytes."""
+#: A random number for each byte, for hashes that share nothing with the plain ones.
+OTHER = np.random.default_rng(71).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def prefix(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Sums whose differences, times an inverse power, are hashes of stretches of bytes; table: a number for each byte."""
     out = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(U) + U(1) if table is None else table[data]) * powers(len(data))[0][: len(data)], out=out[1:])
     return out
 
 

@@ -149,10 +149,11 @@ def repeats_by_hand(rows, width=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_passages(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
-    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 20)
+@pytest.mark.parametrize(("group", "least_hot"), [(10_000, 20), (2, 20), (2, 1), (10_000, 1)])
+def test_passages(docs, monkeypatch, group, least_hot):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group)
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**6)
     a, b = prose(1, 40), prose(2, 30)
     rows = [a, b + a[50:] + b, a[:99], a[:100], a[1:101], "é" * 60, "ü" + "é" * 60, "z" * 350, "z" * 90, None, "", prose(3, 20) + a[20:119] + prose(4, 20), prose(5, 20) + a[20:125] + prose(6, 20), a, a[:60] + b[:60]]
     rows += [prose(10 + k, 9) + a[100:260] + prose(30 + k, 9) for k in range(8)]
@@ -161,6 +162,34 @@ def test_passages(docs, monkeypatch, hot):
     assert [tuple(x) for x in got] == repeats_by_hand(rows)
 
 
+def test_passages_refined():
+    """Windows of a bucket, also where all q-grams seem to share their hash."""
+    r = random.Random(8)
+    core, texts, left = "anchor of twenty-eight bytes", [], []
+    for k in range(60):
+        a, z = r.choice(["", prose(1, 20)[:72], prose(2, 20)[-40:]])[-r.randint(1, 72) :], r.choice([prose(3, 20), prose(4, 20)[:50] + prose(3, 20)[50:]])[: r.choice([72, 72, 60, 30])]
+        texts.append((a + core + z).encode())
+        left.append(len(a))
+    left = np.array(left)
+    want = set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            same = [j for j, u in enumerate(texts[:i]) for q in [p - left[i] + left[j]] if q >= 0 and u[q : q + 100] == t[p : p + 100]]
+            if same:
+                want.add((i, p - left[i] + suffix_dedup.BACK, min(same)))
+    h = np.zeros(60, np.int64)
+    assert want and set(zip(*(x.tolist() for x in suffix_dedup.refined(h, left, texts)))) == want
+    data, begin, end = suffix_dedup.laid_out(left, texts)
+    assert [data[i, a:z].tobytes() for i, (a, z) in enumerate(zip(begin, end))] == texts
+
+
+def test_passages_with_colliding_hashes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & suffix_dedup.U(0))
+    texts = [(f"{k % 3}" * 172).encode() for k in range(6)]
+    row, p, first = suffix_dedup.refined(np.zeros(6, np.int64), np.full(6, suffix_dedup.BACK), texts)
+    assert set(zip(row.tolist(), first.tolist())) == {(3, 0), (4, 1), (5, 2)} and sorted(set(p.tolist())) == list(range(73))
+
+
 def test_passages_with_odd_ids(docs):
     a = prose(1, 40)
     got = suffix_dedup.remove_repeats(docs((None, a, None, None, None), (2, a, None, None, None), (3, a, None, None, None), (3, a, None, None, None)), with_text=True).collect()
