@@ -43,7 +43,7 @@ WIDTH, GRAM = 100, 28
 STARTS = WIDTH - GRAM + 1
 BACK, SPAN = WIDTH - GRAM, 2 * WIDTH - GRAM
 #: Members of a bucket that one task refines by itself.
-GROUP_ROWS = 10_000
+GROUP_ROWS = 2_000
 #: Documents, about, whose anchors tell which q-grams are very frequent; that only decides how rows are dealt.
 SAMPLE_DOCS, HOT_SHARE, LEAST_HOT = 2000, 1000, 20
 LAST = (1 << 63) - 1

@@ -131,32 +131,71 @@ def test_packing(docs):
     assert packing.pack(docs("a").limit(0)).count() == 0
 
 
-def test_matching_is_as_good_as_best_fit_decreasing():
-    for seed in range(60):
+def best_fit_decreasing(lengths, cap):
+    gaps: list = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= n
+        else:
+            gaps.append(cap - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("seed", "cap", "sizes"), [(1, 1024, range(1, 1025)), (2, 1024, range(1, 300)), (3, 64, [21] * 5 + [3, 1, 33]), (4, 10, [4]), (5, 100, [100, 51, 49])])
+def test_packing_is_as_good_as_best_fit_decreasing(spark, seed, cap, sizes):
+    r = random.Random(seed)
+    lengths = r.choices(list(sizes), k=300)
+    rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length int").repartition(3)
+    found = packing.assign(rows, cap)
+    assert sorted((x["pid"], x["length"]) for x in found.collect()) == list(enumerate(lengths))
+    fill = Counter()
+    for x in found.collect():
+        fill[x["sequence_id"]] += x["length"]
+    assert max(fill.values()) <= cap
+    assert len(fill) <= best_fit_decreasing(lengths, cap) * 1.04 + 1
+
+
+def test_sweeps_over_ranges_are_one_sweep():
+    """What ranges leave and then meet by rank is what one sweep over all of them finds."""
+    for seed in range(200):
         r = random.Random(seed)
-        cap = r.choice([7, 10, 64, 1024])
-        counts = {r.randint(1, cap): r.randint(1, 40) for _ in range(r.randint(1, 25))}
-        runs = packing.match(counts, cap)
-        fill, placed = defaultdict(list), defaultdict(set)
-        for n, rank, k, lo, off in runs:
-            for i in range(k):
-                fill[lo + i].append((off, n))
-                placed[n].add(rank + i)
-        assert {n: len(x) for n, x in placed.items()} == counts
-        gaps: list = []
-        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
-            fits = [i for i, g in enumerate(gaps) if g >= n]
-            if fits:
-                gaps[min(fits, key=gaps.__getitem__)] -= n
-            else:
-                gaps.append(cap - n)
-        assert len(fill) <= len(gaps) * 1.1 + 2
-        for b in fill.values():
-            at = 0
-            for off, n in sorted(b):
-                assert off == at
-                at += n
-            assert at <= cap
+        kinds = [r.random() < r.choice([0.2, 0.5, 0.8]) for _ in range(r.randint(0, 40))]
+        want, stack = set(), []
+        for i, gap in enumerate(kinds):
+            if not gap:
+                stack.append(i)
+            elif stack:
+                want.add((stack.pop(), i))
+        a, b, free, idle = packing.nearest_pairs(np.array(kinds, bool))
+        assert set(zip(a.tolist(), b.tolist())) == want and free.tolist() == stack
+        cuts = sorted(r.choices(range(len(kinds) + 1), k=3))
+        got, left, names = set(), [], {}
+        for part, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(kinds)])):
+            a, b, free, idle = packing.nearest_pairs(np.array(kinds[lo:hi], bool))
+            got |= set(zip((a + lo).tolist(), (b + lo).tolist()))
+            left.append((part, len(free), len(idle)))
+            names |= {(part, False, k): int(v) + lo for k, v in enumerate(free)} | {(part, True, k): int(v) + lo for k, v in enumerate(idle)}
+        met = {}
+        for part, gaps, lo, hi, sign, shift in packing.across(left):
+            for k in range(lo, hi):
+                met.setdefault(sign * k + shift, {})[gaps] = names[part, gaps, k]
+        assert got | {(m[False], m[True]) for m in met.values()} == want
+
+
+def test_words_are_encoded_as_texts_are():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    bits = ["word", "Läuft", "don't", "'s", "12", "  ", " ", "\n", "\t", "\r\n", "...", "中文", "\u00a0", "\u2003", "\u200b", "\x1c", "\x0b", "<|endoftext|>", "é", "👍", "“q”", "_", "x" * 70]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 60))) for _ in range(600)] + [None, "", " ", "\n", " a", "a ", "a" * 5000, " " * 60_000 + "a"]
+    for column in (pa.array(texts), pa.array(texts).slice(100)):
+        got = list(packing.token_ids(column))
+        assert [x.tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
 
 
 def test_toxicity(spark, docs):
