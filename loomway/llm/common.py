@@ -1,4 +1,8 @@
-"""Expressions and small helpers shared by the text operators."""
+"""Expressions and small helpers shared by the text operators.
+
+A null text has no words and, where characters are counted, a null count. A null id is never among given ids unless
+these hold a null themselves; then it may be. Rows travel as one struct, so their columns may have any names.
+"""
 
 from __future__ import annotations
 
@@ -48,24 +52,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-#: Bits of the filter made by ``perhaps_in``, at most; beyond that many ids it lets more through.
+#: Bits of the filter made by ``flag_perhaps``, at most; beyond that many ids it lets more through.
 FILTER_BITS = 1 << 26
 _PAGE = 1 << 15
 
 
-def flag_perhaps(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
-    """Adds whether ``key`` may be among ``ids`` (one column): true for all that are, and for some that are not. The
-    bitmaps that are broadcast hold 8 MB at most, whatever the number of ids; a later join then need not move the rest."""
+def flag_perhaps(rows: DataFrame, key: Column, ids: DataFrame, hashed: bool = False) -> DataFrame:
+    """``row`` (each row as a struct) and ``perhaps``, whether ``key`` may be among ``ids`` (one column of its type): true for all that
+    are, and for some that are not. The bitmaps that are broadcast hold 8 MB at most, whatever the number of ids; a later
+    join then need not move the rest. hashed: ``ids`` are hashes (``xxhash64``) already."""
     pages, n = 1, ids.count()
     while pages * _PAGE < min(16 * n, FILTER_BITS):
         pages *= 2
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(pages * _PAGE))
-    marks = ids.select(bit(F.col(ids.columns[0])).alias("b")).groupBy(F.floor(F.col("b") / _PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("b") % _PAGE).alias("_map"))
-    out = rows.withColumn("_bit", bit(F.col(key))).join(F.broadcast(materialize(marks)), F.floor(F.col("_bit") / _PAGE) == F.col("_page"), "left")
-    byte = f"cast(conv(hex(substring(_map, cast(_bit % {_PAGE} div 8 + 1 as int), 1)), 16, 10) as int)"
-    return out.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1, false)").alias(name))
+    bit = lambda h: F.pmod(h, F.lit(pages * _PAGE))
+    mark = F.col(ids.columns[0])
+    marks = ids.select(bit(mark if hashed else F.xxhash64(mark)).alias("b")).groupBy(F.floor(F.col("b") / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("b") % _PAGE).alias("map"))
+    out = rows.select(F.struct("*").alias("row"), bit(F.xxhash64(key)).alias("bit")).join(F.broadcast(materialize(marks)), F.floor(F.col("bit") / _PAGE) == F.col("page"), "left")
+    byte = f"cast(conv(hex(substring(map, cast(bit % {_PAGE} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return out.select("row", F.expr(f"coalesce(shiftright({byte}, cast(bit % 8 as int)) & 1 = 1, false)").alias("perhaps"))
+
 
+def with_new_text(found: DataFrame, columns: list[str], text_col: str, size_col: str | None) -> DataFrame:
+    """``row`` with ``text`` in place of its own and, if the row has it, its size counted anew; the same columns."""
+    new = {text_col: F.col("text")} | ({size_col: F.length("text").cast("long")} if size_col in columns else {})
+    return found.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns))
 
-def perhaps_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``key`` may be among ``ids``."""
-    return flag_perhaps(rows, key, ids, "_perhaps").filter("_perhaps").drop("_perhaps")

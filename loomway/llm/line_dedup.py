@@ -1,14 +1,19 @@
-"""Line dedup: a sharded minimal perfect hash indexes the lines that many documents share, and documents probe it.
-
-A line's key is the line stripped of white space with A-Z lower-cased. Keys are hashed to 128 bits, counted over all
-documents (partial sums before the shuffle, so a very common line is one row per task), and the frequent ones are put,
-shard by shard, under a minimal perfect hash with compact arrays: fingerprint, count, the document that keeps them.
-Documents probe the arrays; their lines are never joined. Shards are broadcast in groups of at most ``group_bytes``,
-one pass over the documents per group.
+"""Line dedup: a sharded minimal perfect hash over the distinct lines' hashes indexes compact arrays, and documents probe
+the arrays instead of joining lines.
+
+1. A line's key is the line stripped of white space with A-Z lower-cased, hashed to 128 bits. The keys of a document are
+   written once, with the numbers of the lines that have them; texts are read for that and not again until the end.
+2. Keys are counted over all documents (partial sums before the shuffle, so a very common line is one row per task). The
+   distinct ones are put, shard by shard, under a minimal perfect hash with arrays: fingerprint, count, the document that
+   keeps them.
+3. Keys probe the arrays of their shard, which is read once and kept while its probes stream by; what comes back are
+   numbers of lines to drop. Keys of more than ``HOT_SHARE`` of all lines (as many as one over that, at most) have an
+   index of their own that every task holds, so that a very common line is probed where it is.
+4. Documents with lines to drop meet their numbers; the others are not moved.
 
 Defined results: a null or empty text is one empty line; each row counts as a document, rows that share the largest
 id all keep their lines; null ids are below all others; an empty table gives an empty result; other columns are
-carried along untouched.
+carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import materialize, table
-from .common import modest_batches
+from .common import flag_perhaps, modest_batches, with_new_text
 
 SPACES = b" \t\n\x0b\x0c\r"
 U = np.uint64
 LEVELS = 40
+HOT_SHARE, LEAST_HOT = 1e-4, 1000
 
 
 def keys_of(text: str, least: int) -> Iterator[tuple[int, bytes]]:
@@ -40,9 +46,10 @@ def keys_of(text: str, least: int) -> Iterator[tuple[int, bytes]]:
                 yield i, xxhash.xxh3_128_digest(key)
 
 
-def _mix(h: np.ndarray, level: int) -> np.ndarray:
-    h = (h ^ U((level * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (1 << 64) - 1)) * U(0xFF51AFD7ED558CCD)
-    h ^= h >> U(33)
+def _mix(k: np.ndarray, level: int) -> np.ndarray:
+    """A hash of keys (rows of two numbers) for each level."""
+    h = (k[:, 0] ^ U((level * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (1 << 64) - 1)) * U(0xFF51AFD7ED558CCD)
+    h ^= (h >> U(33)) ^ k[:, 1]
     h *= U(0xC4CEB9FE1A85EC53)
     return h ^ (h >> U(33))
 
@@ -60,10 +67,10 @@ class PerfectHash:
             own = np.bincount(at, minlength=size) == 1
             bits = np.packbits(own, bitorder="little")
             ranks = np.concatenate(([0], np.cumsum(np.add.reduceat(own.astype(np.int64), np.arange(0, size, 8))))).astype(np.int64) + base
-            self.levels.append((size, bits, ranks))
+            self.levels.append((size, bits, ranks.astype(np.uint32)))
             base += int(own.sum())
             left = left[~own[at]]
-        self.size, self.rest = base, {int(k): base + i for i, k in enumerate(left.tolist())}
+        self.size, self.rest = base, {(a, b): base + i for i, (a, b) in enumerate(left.tolist())}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """A slot for each key, that of a stored key if it is one; -1: surely none."""
@@ -73,111 +80,134 @@ class PerfectHash:
             byte, bit = bits[at >> 3], (at & 7).astype(np.uint8)
             hit = (byte >> bit) & 1 == 1
             low = np.bitwise_count(byte & ((1 << bit.astype(np.uint16)) - 1).astype(np.uint8))
-            out[left[hit]] = (ranks[at >> 3] + low)[hit]
+            out[left[hit]] = (ranks[at >> 3].astype(np.int64) + low)[hit]
             left = left[~hit]
             if not len(left):
                 break
         for i in left.tolist() if self.rest else ():
-            out[i] = self.rest.get(int(keys[i]), -1)
+            out[i] = self.rest.get(tuple(keys[i].tolist()), -1)
         return out
 
 
 class Shard:
-    def __init__(self, k1: np.ndarray, k2: np.ndarray, count: np.ndarray, keeper: np.ndarray, no_keeper: np.ndarray):
-        self.hash = PerfectHash(k1)
-        slot = self.hash.find(k1)
-        n = len(k1)
-        self.print, self.count, self.keeper, self.none = np.zeros(n, U), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        self.print[slot], self.count[slot], self.keeper[slot], self.none[slot] = k2, count, keeper, no_keeper
+    """The hash of some keys with arrays in the order of its slots."""
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, keeper: np.ndarray, no_keeper: np.ndarray):
+        self.hash = PerfectHash(keys)
+        slot, n = self.hash.find(keys), len(keys)
+        self.print, self.count, self.keeper, self.none = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.int64), np.zeros(n, bool)
+        self.print[slot], self.count[slot], self.keeper[slot], self.none[slot] = keys[:, 1] >> U(32), np.minimum(count, 0xFFFFFFFF), keeper, no_keeper
+
+    @staticmethod
+    def of(rows: pd.DataFrame) -> Shard:
+        keys = np.stack([rows[k].to_numpy().astype(np.int64).view(U) for k in ("k1", "k2")], 1)
+        return Shard(keys, rows["n"].to_numpy(), rows["keeper"].fillna(0).to_numpy().astype(np.int64), rows["keeper"].isna().to_numpy())
+
+    def probe(self, keys: np.ndarray, ids: np.ndarray, null: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are stored, and which of them are frequent lines that their document does not keep."""
+        slot = self.hash.find(keys) if len(self.print) else np.full(len(keys), -1)
+        known = slot >= 0
+        slot = np.where(known, slot, 0) if len(self.print) else slot
+        if not len(self.print):
+            return known, known
+        known &= self.print[slot] == (keys[:, 1] >> U(32)).astype(np.uint32)
+        keeps = np.where(self.none[slot], null, ~null & (ids == self.keeper[slot]))
+        return known, known & (self.count[slot] >= min_docs) & ~keeps
 
 
-def _digests(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+LINES = "id long, th long, k1 long, k2 long, lines array<int>"
+NAMES = ["id", "th", "k1", "k2", "lines"]
+
+
+def _keyed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each document with the numbers of their lines."""
     for b in batches:
-        ids, got = [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = {k for _, k in keys_of(text or "", least)}
+        ids, ths, got, lines = [], [], [], []
+        for doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own: dict[bytes, list[int]] = {}
+            for i, k in keys_of(text or "", least):
+                own.setdefault(k, []).append(i)
             got += own
+            lines += own.values()
             ids += [doc] * len(own)
+            ths += [th] * len(own)
         k = np.frombuffer(b"".join(got), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], ["k1", "k2", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lines, pa.list_(pa.int32()))], NAMES)
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, least: int, min_docs: int) -> DataFrame:
-    """``k1, k2, n, keeper`` of the keys found in at least ``min_docs`` documents."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = slim.mapInArrow(lambda it: _digests(it, least), "k1 long, k2 long, id long")
-    return keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+def _parts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ids (0 where null) and where they are null."""
+    col = lambda c: b.column(b.schema.get_field_index(c))
+    keys = np.stack([col(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U) for k in ("k1", "k2")], 1)
+    return keys, col("id").fill_null(0).to_numpy(), col("id").is_null().to_numpy(zero_copy_only=False)
 
 
-def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    none = pdf["keeper"].isna().to_numpy()
-    s = Shard(pdf["k1"].to_numpy().astype(np.int64).view(U), pdf["k2"].to_numpy().astype(np.int64).view(U), pdf["n"].to_numpy(), pdf["keeper"].fillna(0).to_numpy().astype(np.int64), none)
-    return pd.DataFrame({"shard": [int(key[0])], "index": [pickle.dumps(s)]})
+def _probe_hot(batches: Iterable[pa.RecordBatch], shard: Shard, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Settles the very common keys: those to drop have ``drop`` set, those to keep are gone, the others go on."""
+    for b in batches:
+        known, take = shard.probe(*_parts(b), min_docs)
+        stay = pa.array(~known | take)
+        yield pa.RecordBatch.from_arrays([*(c.filter(stay) for c in b.columns), pa.array(take).filter(stay)], [*b.schema.names, "drop"])
 
 
-def _probe(batches: Iterable[pa.RecordBatch], index: dict, shards: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Adds to ``gone`` the numbers of the lines that the shards at hand take from each row."""
+def _probe(batches: Iterable[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition in which each shard's index is followed by its probes: documents and lines to drop."""
+    shard = None
     for b in batches:
-        ids, texts, gone = b.column("_id").to_pylist(), b.column("_text").to_pylist(), b.column("_gone").to_pylist()
-        rows, lines, got = [], [], []
-        for r, text in enumerate(texts):
-            for i, k in keys_of(text or "", least):
-                rows.append(r)
-                lines.append(i)
-                got.append(k)
-        k = np.frombuffer(b"".join(got), U).reshape(-1, 2)
-        take = np.zeros(len(k), bool)
-        to = k[:, 0] % U(shards)
-        own = np.array([np.iinfo(np.int64).min if x is None else x for x in ids], np.int64)
-        null = np.array([x is None for x in ids], bool)
-        r = np.array(rows, np.int64)
-        for s, shard in index.items():
-            at = np.flatnonzero(to == U(s))
-            slot = shard.hash.find(k[at, 0])
-            at, slot = at[slot >= 0], slot[slot >= 0]
-            hit = shard.print[slot] == k[at, 1]
-            at, slot = at[hit], slot[hit]
-            keeps = np.where(shard.none[slot], null[r[at]], ~null[r[at]] & (own[r[at]] == shard.keeper[slot]))
-            take[at] = ~keeps
-        for j in np.flatnonzero(take).tolist():
-            if gone[rows[j]] is None:
-                gone[rows[j]] = []
-            gone[rows[j]].append(lines[j])
-        cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(gone, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-
-
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, min_docs: int = 5, shard_keys: int = 50_000, group_bytes: int = 64 << 20) -> DataFrame:
+        index = b.column(b.schema.get_field_index("index"))
+        heads = np.flatnonzero(index.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for lo, hi in zip([-1, *heads], [*heads, b.num_rows]):
+            if lo >= 0:
+                shard = pickle.loads(index[lo].as_py())
+            if hi > lo + 1:
+                part = b.slice(lo + 1, hi - lo - 1)
+                take = pa.array(shard.probe(*_parts(part), min_docs)[1])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).filter(take) for c in ("id", "th", "lines")], ["id", "th", "lines"])
+
+
+def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [int(key[0])], "index": [pickle.dumps(Shard.of(pdf))]})
+
+
+def lines_to_drop(texts: DataFrame, least: int, min_docs: int, shard_keys: int) -> DataFrame:
+    """``id, th, gone`` for documents ``id, th, text`` that lose lines: the numbers of these. th: a hash of the text."""
+    spark = texts.sparkSession
+    lines = materialize(texts.mapInArrow(lambda it: _keyed(it, least), LINES))
+    found = materialize(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")))
+    total, distinct = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    hot = Shard.of(found.filter(F.col("n") > max(LEAST_HOT, total * HOT_SHARE)).toPandas())  # fewer than 1 / HOT_SHARE rows
+    sent = spark.sparkContext.broadcast(hot)
+    now = lines.mapInArrow(lambda it: _probe_hot(it, sent.value, min_docs), f"{LINES}, drop boolean")
+    shards = max(1, -(-distinct // shard_keys))
+    shard = F.pmod(F.xxhash64("k1"), F.lit(shards)).alias("shard")
+    built = found.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard long, index binary")
+    none = {c: F.lit(None).cast(k) for c, k in (x.split() for x in LINES.split(", "))}
+    rows = built.withColumns(none).unionByName(now.filter("not drop").select("*", shard, F.lit(None).cast("binary").alias("index")).drop("drop"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("index").isNull())
+    gone = rows.mapInArrow(lambda it: _probe(it, min_docs), "id long, th long, lines array<int>").unionByName(now.filter("drop").select("id", "th", "lines"))
+    # rows that repeat id and text have the same lines; a set holds them once
+    return materialize(gone.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone")))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, min_docs: int = 5, shard_keys: int = 50_000) -> DataFrame:
     """``row`` (the input row as a struct), ``n_lines``, ``n_dropped`` and ``kept_text``."""
-    spark = docs.sparkSession
-    modest_batches(spark)
-    found = materialize(frequent_lines(docs, id_col, text_col, least, min_docs))
-    n = found.count()
-    shards = max(1, -(-n // shard_keys))
-    to = F.expr(f"cast(((k1 % {shards}) + if(k1 < 0, {(1 << 64) % shards}, 0) + {shards}) % {shards} as int)")  # k1 as unsigned
-    built = materialize(found.withColumn("shard", to).groupBy("shard").applyInPandas(_build, "shard int, index binary"))
-    # the size of a shard is bounded, so the shards of a group can be counted off before any is fetched
-    per = max(1, group_bytes // (48 * shard_keys))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(None).cast("array<int>").alias("_gone"))
-    for lo in range(0, shards, per):
-        group = {r["shard"]: pickle.loads(r["index"]) for r in built.filter(F.col("shard").between(lo, lo + per - 1)).toLocalIterator()}
-        if not group:
-            continue
-        sent = spark.sparkContext.broadcast(group)
-        rows = rows.mapInArrow(lambda it, sent=sent: _probe(it, sent.value, shards, least), rows.schema)
-        if lo + per < shards:
-            rows = materialize(rows)
-            sent.unpersist()
-    rows = rows.withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n"))
-    left = F.when(F.col("_gone").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return rows.select("row", F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), left.alias("kept_text"))
+    modest_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    gone = lines_to_drop(texts, least, min_docs, shard_keys).withColumnRenamed("th", "t")
+    rows = flag_perhaps(docs, F.col(text_col), gone.select("t"), hashed=True)
+    text = F.col("row").getField(text_col)
+    mine = F.col("row").getField(id_col).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("t"))
+    some = rows.filter("perhaps").join(gone, mine, "left").select("row", "gone")
+    rows = some.unionByName(rows.filter("not perhaps").select("row", F.lit(None).cast("array<int>").alias("gone")))
+    rows = rows.select("row", "gone", F.coalesce(text, F.lit("")).alias("body")).withColumn("said", F.split("body", "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(F.filter("said", lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    return rows.select("row", F.size("said").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), left.alias("kept_text"))
 
 
 def without_shared_lines(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents with their shared lines dropped; same columns. ``size_col``, if there, is counted anew."""
-    out = drop_lines(docs, text_col=text_col, **options).select("row.*", F.col("kept_text").alias("_left_"))
-    new = {text_col: F.col("_left_")} | ({size_col: F.length("_left_").cast("long")} if size_col in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    out = drop_lines(docs, text_col=text_col, **options).select("row", F.col("kept_text").alias("text"))
+    return with_new_text(out, docs.columns, text_col, size_col)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,16 +23,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import materialize, table
 from ..operators.components import connected_components
 from .bytesvec import LOWER, U, mix, prefix, sliced, stretch, words
-from .common import flag_perhaps, modest_batches, perhaps_in, small
+from .common import flag_perhaps, modest_batches, small
 
 TREES, DEPTH, BASE, REGION = 40, 6, 4, 50
 BLOCK, PIVOTS = 256, 16
+#: Sets that a task remembers having labelled; more only means labels that are made again.
+REMEMBERED = 500_000
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | U(1)
 _ADDENDS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -80,6 +82,8 @@ def _prints(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Record
             k1.append(a)
             k2.append(c)
             if len(s) and (a, c) not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add((a, c))
                 least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, U)
                 for lo in range(0, len(s), 512):
@@ -222,11 +226,17 @@ def _confirm(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Ite
         yield out()
 
 
+def _who(row_id: Column, text: Column) -> Column:
+    """What tells the rows of one id, or one text without an id, from others."""
+    return F.struct(row_id.isNull().alias("none"), F.coalesce(row_id, F.xxhash64(text)).alias("id"))
+
+
 def _compare(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``groups``: bundle, block, k1, k2, id, comp. Texts go to the groups they are in; nothing else is moved."""
+    """``groups``: bundle, block, k1, k2, who, comp. Texts go to the groups they are in; nothing else is moved."""
     groups = materialize(groups)
-    texts = perhaps_in(docs, "id", groups.select("id").distinct()).select(F.col("id").alias("i"), "text")
-    rows = texts.join(small(groups), F.col("id").eqNullSafe(F.col("i"))).select("bundle", "block", "k1", "k2", "comp", "text")
+    own = _who(F.col("row.id"), F.col("row.text"))
+    texts = flag_perhaps(docs, _who(F.col("id"), F.col("text")), groups.select("who").distinct()).filter("perhaps").select(own.alias("w"), "row.text")
+    rows = texts.join(small(groups), F.col("who") == F.col("w")).select("bundle", "block", "k1", "k2", "comp", "text")
     rows = rows.repartition("bundle", "block").sortWithinPartitions("bundle", "block")
     return materialize(rows.mapInArrow(lambda it: _confirm(it, width, percent), "a1 long, a2 long, b1 long, b2 long"))
 
@@ -235,16 +245,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, n_shingles, component_id, kept``, one row per input row."""
     modest_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(slim.mapInArrow(lambda it: _prints(it, width), "id long, n long, k1 long, k2 long, label binary"))
-    sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")))
+    slim = slim.select("id", _who(F.col("id"), F.col("text")).alias("who"), "text")
+    rows = materialize(slim.mapInArrow(lambda it: _prints(it, width), "id long, who struct<none:boolean,id:bigint>, n long, k1 long, k2 long, label binary"))
+    # a set's least id, and its text by that id or, where all are null, by itself
+    sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("who").alias("who")))
     bundles = materialize(connected_components(candidates(rows.filter("label is not null"))).select(F.col("node").alias("k1"), F.col("component").alias("bundle")))
     sized = materialize(bundles.groupBy("bundle").agg(F.count("*").alias("size")))
-    every = materialize(sets.join(small(bundles), "k1").join(small(sized), "bundle").select("bundle", "size", "k1", "k2", "id"))
+    every = materialize(sets.join(small(bundles), "k1").join(small(sized), "bundle").select("bundle", "size", "k1", "k2", "who"))
     members = materialize(every.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40))))
     pivot = (F.col("blocks") > 1) & (F.col("at") < F.lit(float(1 << 40)) * PIVOTS / F.col("size"))
     own = F.pmod("at", F.col("blocks")).cast("int")
     places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    groups = members.select("bundle", F.explode(places).alias("block"), "k1", "k2", "id", F.lit(None).cast("long").alias("comp"))
+    groups = members.select("bundle", F.explode(places).alias("block"), "k1", "k2", "who", F.lit(None).cast("long").alias("comp"))
     links = _compare(groups, slim, width, percent)
     # in a bundle of one block the links are stars already
     wide = members.filter("blocks > 1")
@@ -261,9 +273,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wide = materialize(wide.join(main, "bundle").filter("rest > 0").withColumn("outs", F.ceil(F.col("rest") / BLOCK).cast("int")))
         u = F.when(F.col("comp") != F.col("main"), F.pmod(F.shiftright("at", 20), F.col("outs")).cast("int"))
         meet = wide.select("*", u.alias("u"), own.alias("b"))
-        as_member = meet.select("bundle", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("x"), F.col("b").alias("y"), "k1", "k2", "id", "comp")
-        as_rest = meet.filter("u is not null").select("bundle", F.col("u").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "k1", "k2", "id", "comp")
-        both = as_member.unionByName(as_rest).distinct().select("bundle", (F.col("x").cast("long") * (1 << 31) + F.col("y")).alias("block"), "k1", "k2", "id", "comp")
+        as_member = meet.select("bundle", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("x"), F.col("b").alias("y"), "k1", "k2", "who", "comp")
+        as_rest = meet.filter("u is not null").select("bundle", F.col("u").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "k1", "k2", "who", "comp")
+        both = as_member.unionByName(as_rest).distinct().select("bundle", (F.col("x").cast("long") * (1 << 31) + F.col("y")).alias("block"), "k1", "k2", "who", "comp")
         more = _compare(both, slim, width, percent)
         if more.take(1):
             comp = _resolve(mine.unionByName(more.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("b1").alias("comp"), F.col("b2").alias("comp_2"))))
@@ -274,7 +286,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = groups.groupBy("comp", "comp_2").agg(F.min("id").alias("component"))
     found = materialize(roots.join(least, ["comp", "comp_2"]).select("k1", "k2", "component"))
     known = sets.join(small(found.withColumn("in", F.lit(True))), ["k1", "k2"], "left").select("k1", "k2", F.when(F.col("in"), F.col("component")).otherwise(F.col("id")).alias("component"))
-    full = rows.drop("label").join(known, ["k1", "k2"], "left")
+    full = rows.drop("label", "who").join(known, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -289,10 +301,11 @@ def _resolve(roots: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without near duplicates of one with a smaller id; same columns. An id goes if none of its rows is kept."""
     found = components(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("kept").alias("any"))
-    gone = materialize(found.filter("not any").select(F.col("doc_id").alias("_gone_")))
-    rows = flag_perhaps(docs, id_col, gone, "_perhaps_")
-    left = rows.filter("_perhaps_").join(gone, F.col(id_col).eqNullSafe(F.col("_gone_")), "left_anti")
-    return rows.filter("not _perhaps_").unionByName(left).drop("_perhaps_")
+    gone = materialize(found.filter("not any").select(F.col("doc_id").alias("gone")))
+    rows = flag_perhaps(docs, F.col(id_col).cast("long"), gone)
+    mine = F.col("row").getField(id_col).cast("long")
+    left = rows.filter("perhaps").join(gone, mine.eqNullSafe(F.col("gone")), "left_anti")
+    return rows.filter("not perhaps").unionByName(left).select("row.*")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
-from .common import SPACES, chars_in, without, words_of
+from .common import SPACES, chars_in, with_new_text, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 MARKS, LINE_SYMBOLS, SEPARATORS = "!?", "#*$%&<>=~^_", "|»«•·›"
@@ -90,9 +90,8 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The documents that pass, without the lines that failed; same columns. ``size_col``, if there, is counted anew."""
-    good = judge(docs, text_col).filter("kept").select("row.*", F.array_join("lines", "\n").alias("_clean_"))
-    new = {text_col: F.col("_clean_")} | ({size_col: F.length("_clean_").cast("long")} if size_col in docs.columns else {})
-    return good.withColumns(new).select(*docs.columns)
+    good = judge(docs, text_col).filter("kept").select("row", F.array_join("lines", "\n").alias("text"))
+    return with_new_text(good, docs.columns, text_col, size_col)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

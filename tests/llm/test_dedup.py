@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -61,15 +62,16 @@ def lines_by_hand(rows, least=40, min_docs=5):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_keys": 1, "group_bytes": 1}])
-def test_lines(docs, options):
+@pytest.mark.parametrize(("options", "least_hot"), [({}, 1000), ({"shard_keys": 7}, 6)])
+def test_lines(docs, monkeypatch, options, least_hot):
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", least_hot)
     common = ["A line that very many documents share, word for word", "Übermäßig lange Zeile, die sich überall wiederholt", "short shared line", "x" * 39, "y" * 40]
     r = random.Random(3)
     rows = []
     for i in range(1, 30):
         own = [r.choice([c, c.upper() if c.isascii() else c, f"  {c}\t", c + "!"]) for c in r.sample(common, r.randint(0, 5))] + [prose(i, 12)]
         rows.append((i, "\n".join(own * r.randint(1, 2))))
-    rows += [(30, None), (31, ""), (32, "\n\n"), (None, "y" * 40)]
+    rows += [(30, None), (31, ""), (32, "\n\n"), (None, "y" * 40), (33, rows[0][1]), (33, rows[0][1]), (33, rows[1][1]), (None, rows[0][1])]
     got = line_dedup.drop_lines(docs(*[(i, t, None, None, None) for i, t in rows]), **options)
     got = [(x["row"]["doc_id"], x["n_lines"], x["n_dropped"], x["kept_text"]) for x in got.collect()]
     assert sorted(got, key=str) == sorted(lines_by_hand(rows), key=str)
@@ -78,13 +80,24 @@ def test_lines(docs, options):
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    keys = np.random.default_rng(1).integers(0, 1 << 63, (20_000, 2), dtype=np.uint64)
+    keys[:100, 0] = 7  # told apart by their other half
     h = PerfectHash(keys)
     assert sorted(h.find(keys).tolist()) == list(range(len(keys)))
-    assert h.find(np.arange(100, dtype=np.uint64)).max() < len(keys)
+    assert h.find(np.arange(200, dtype=np.uint64).reshape(-1, 2)).max() < len(keys)
     assert PerfectHash(keys[:0]).find(keys[:5]).tolist() == [-1] * 5
 
 
+def test_shards_hold_counts_and_keepers():
+    rows = pd.DataFrame({"k1": range(50), "k2": [1 << 40] * 50, "n": range(50), "keeper": pd.array([None if k == 9 else k for k in range(50)], "Int64")})
+    keys = np.stack([np.arange(60, dtype=np.uint64), np.full(60, 1 << 40, np.uint64)], 1)
+    known, take = line_dedup.Shard.of(rows).probe(keys, np.full(60, 7), np.zeros(60, bool), 5)
+    assert known[:50].all() and np.flatnonzero(take & (np.arange(60) < 50)).tolist() == [k for k in range(5, 50) if k != 7]
+    known, take = line_dedup.Shard.of(rows).probe(keys[:10], np.zeros(10, np.int64), np.ones(10, bool), 9)
+    assert not take.any() and known.all()
+    assert not line_dedup.Shard.of(rows[:0]).probe(keys, np.zeros(60, np.int64), np.ones(60, bool), 1)[0].any()
+
+
 def near_by_hand(rows, width, percent):
     sets = []
     for i, t in rows:
@@ -123,20 +136,59 @@ def test_near(docs, monkeypatch, block):
     shared = prose(77, 30)
     rows += [(next(n), shared + " " + prose(100 + k, 30)) for k in range(12)]
     rows += [(500, None), (501, ""), (502, " \t"), (503, "two words"), (504, "Two  words"), (505, "a b c d"), (505, "a b c d"), (None, rows[0][1]), (None, "nobody else has this text here at all")]
+    lost = prose(900, 80)
+    rows += [(None, lost), (None, lost + " end"), (None, lost), (None, prose(901, 80)), (None, None)]
     got = near_dedup.components(docs(*[(i, t, None, None, None) for i, t in rows]), width=4).collect()
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == near_by_hand(rows, 4, 80)
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+CLASHING = ("row", "perhaps", "bit", "page", "map", "gone", "id", "w", "who", "said", "body", "lines", "th", "kept", "text_", "n", "part", "h", "_bit", "_page", "_map", "_perhaps_", "_gone_", "_left_", "_clean_")
+
+
+def clashing(d):
+    """Columns that have the names of the operators' own, with values that tell rows apart."""
+    return d.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+
+
+def carried(rows):
+    return all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+
+
 def test_near_keeps_one(docs):
     base = prose(1, 60)
-    d = docs(base, base + " more", prose(2, 60), None, base).withColumn("_bit", F.lit(1))
+    d = clashing(docs(base, base + " more", prose(2, 60), None, base))
     got = near_dedup.keep_one(d)
     assert got.columns == d.columns
-    assert sorted(x["doc_id"] for x in got.collect()) == [1, 3, 4]
+    assert sorted(x["doc_id"] for x in got.collect()) == [1, 3, 4] and carried(got.collect())
     assert near_dedup.keep_one(docs("a").limit(0)).count() == 0
 
 
+def test_lines_take_clashing_columns(docs):
+    line = "A line that very many documents share, word for word"
+    d = clashing(docs(*[f"{line}\nown {i}" for i in range(1, 8)]))
+    got = line_dedup.without_shared_lines(d)
+    assert got.columns == d.columns and carried(got.collect())
+    assert sorted(r["text"] for r in got.collect()) == [f"{line}\nown 7", *(f"own {i}" for i in range(1, 7))] and {r["n_chars"] for r in got.collect()} == {5, len(line) + 6}
+
+
+def test_passages_take_clashing_columns(docs):
+    a = prose(1, 40)
+    got = suffix_dedup.remove_repeats(clashing(docs(a, a)).drop("id")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, len(a))]
+
+
+def test_very_long_texts(docs):
+    """A text of a million characters with passages, lines and words like those of others."""
+    long = "\n".join(prose(k, 40) for k in range(4000))
+    d = docs(long, long[:5000], long + " end", "short", None)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(d).collect()}
+    assert got[1]["n_bytes"] == len(long) > 10**6 and [got[i]["n_removed"] for i in (2, 3)] == [5000, len(long)]
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(d).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert sum(r["n_dropped"] for r in line_dedup.drop_lines(d, min_docs=2).collect()) == 4000 + len(long[:5000].split("\n")) - 2
+    assert {r["doc_id"]: r["group_size"] for r in exact_dedup.content_sort(docs(long, long.upper(), long + "!")).collect()} == {1: 2, 2: 2, 3: 1}
+
+
 def repeats_by_hand(rows, width=100):
     seen, out = {}, []
     for i, t in sorted(rows, key=lambda x: x[0]):

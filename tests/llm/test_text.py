@@ -30,8 +30,10 @@ def test_quality(docs):
     clean = {r["doc_id"]: r for r in quality.clean(docs(*texts)).collect()}
     assert clean[4]["text"] == PLAIN and clean[9]["text"] == PLAIN and clean[4]["n_chars"] == len(PLAIN)
     assert sorted(clean) == [1, 4, 9]
-    d = docs(PLAIN).withColumns({"row": F.lit(1), "lines": F.lit(2), "kept": F.lit(3)})
-    assert quality.clean(d).columns == d.columns and quality.clean(d).count() == 1
+    extra = {c: F.lit(c) for c in ("row", "lines", "kept", "_clean_", "_t", "_n", "base_failed")}
+    d = docs(PLAIN, PLAIN).withColumns(extra)
+    assert quality.clean(d).columns == d.columns and quality.clean(d).count() == 2
+    assert all(r[c] == c for r in quality.clean(d).collect() for c in extra)
     assert quality.judge(docs(PLAIN).limit(0)).count() == 0
 
 
