@@ -3,7 +3,8 @@
 A source's target over its size is the copies each of its documents should get; the whole part is given outright,
 the fraction by pivotal rounding: two documents' fractions are moved against each other, words for words, in a random
 direction until one is 0 or 1. Chunks of bounded size are swept so at once; what stays fractional in a chunk goes to
-the next level of a reduction tree, until one document of each source is left, which is rounded.
+the next level of a reduction tree, until one document of each source is left. Long documents are rounded first, so that
+this last one is short.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; rows that share a source and
 an id (null ids too) are one unit and get the same copies; documents of size 0 are rounded each by itself; a source
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import materialize, table
-from .common import WORD, small
+from .common import BROADCAST_ROWS, WORD, small
 
 #: Documents that one task's array holds, about.
 FAN_IN = 256
+#: Binary digits of a size that make a tier.
+TIER_BITS = 5
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -74,27 +77,60 @@ def _sweep(items: Column, seed: int) -> Column:
     return F.aggregate(items, zero, step)
 
 
-def copies(units: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """``source, id, copies`` for units ``source, id, w``; plan: ``source, source_size, target``."""
-    per = units.join(small(plan.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")), "left")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    per = per.select("source", "id", "w", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("p"), _uniform(F.col("id"), F.lit(seed)).alias("u"))
-    counts = small(materialize(per.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))))
-    alone = (F.col("w") == 0) | (F.col("p") <= 0)
-    done = [per.filter(alone).select("source", "id", (F.col("base") + (F.col("u") < F.col("p")).cast("int")).alias("copies"))]
-    left = per.filter(~alone).join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    level = 0
+def _tree(items: DataFrame, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """Pivotal rounding of ``source, n, u, id, w, p`` (n: documents of the source): whole decisions ``source, id, up``, and
+    the one document of each source that is still open, as it came but for its ``p``."""
+    left, done, level = items, [], 0
     while True:
-        chunks = F.ceil(F.col("n") / FAN_IN)
-        held = left.withColumn("chunk", F.pmod(F.xxhash64("u", F.lit(seed + level)), chunks)).groupBy("source", "base", "n", "chunk")
-        swept = held.agg(_sweep(F.sort_array(F.collect_list(F.struct("w", "u", "id", "p")), asc=False), seed + level).alias("s"))
-        swept = materialize(swept)
-        done.append(swept.select("source", "base", F.explode("s.done").alias("d")).select("source", F.col("d.id").alias("id"), (F.col("base") + F.col("d.up")).alias("copies")))
-        left = swept.filter("s.hold is not null").select("source", "base", F.ceil(F.col("n") / FAN_IN).alias("n"), "s.hold.*")
+        held = left.withColumn("chunk", F.pmod(F.xxhash64("u", F.lit(seed + level)), F.ceil(F.col("n") / FAN_IN))).groupBy("source", "n", "chunk")
+        swept = materialize(held.agg(_sweep(F.sort_array(F.collect_list(F.struct("w", "u", "id", "p")), asc=False), seed + level).alias("s")))
+        done.append(swept.select("source", F.explode("s.done").alias("d")).select("source", F.col("d.id").alias("id"), "d.up"))
+        left = swept.filter("s.hold is not null").select("source", F.ceil(F.col("n") / FAN_IN).alias("n"), "s.hold.*")
         if not left.filter("n > 1").take(1):
-            done.append(left.select("source", "id", (F.col("base") + F.round("p").cast("int")).alias("copies")))
-            break
+            return done, left
         level += 1
+
+
+def copies(units: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+    """``source, id, copies`` for units ``source, id, w``; plan: ``source, source_size, target``.
+
+    Long documents are rounded before short ones, tier by tier of their size's order. The one that a tier leaves open is
+    decided by its fraction (or the other way where shorter ones could not make up for that), and what it takes too much
+    or too little is spread over the fractions of the next tier, and on from there where these would leave 0 to 1. So a
+    source misses its target by less than the longest document of its last tier, if its shorter documents can make up for
+    the longer ones at all, and documents are expected as often as their fractions say.
+    """
+    per = units.withColumn("tier", F.floor((F.length(F.bin("w")) - 1) / TIER_BITS).cast("int"))
+    per = per.withColumn("u", _uniform(F.col("id"), F.lit(seed)))
+    found = per.filter("w > 0").groupBy("source", "tier").agg(F.sum("w").alias("all"), F.count("*").alias("n"))
+    found = found.groupBy(F.col("source").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("tier", F.struct("all", "n")))).alias("tiers"))  # a dozen
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    state = plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("p"), "tiers", F.lit(0.0).alias("owe"))
+    state = first = materialize(state)
+    at = lambda df: F.broadcast(df) if sources <= BROADCAST_ROWS else df
+    sources = first.count()
+    base = lambda df: df.join(at(first.select(F.col("source").alias("s"), "base")), F.col("source").eqNullSafe(F.col("s")))
+    none = per.filter("w = 0").join(at(first.select(F.col("source").alias("s"), "base", "p")), F.col("source").eqNullSafe(F.col("s")))
+    done = [none.select("source", "id", (F.col("base") + (F.col("u") < F.col("p")).cast("int")).alias("copies"))]
+    for (tier,) in sorted(first.select(F.explode(F.map_keys("tiers"))).distinct().collect(), reverse=True):  # one for each order of size
+        here = F.col("tiers")[F.lit(tier)]
+        want = F.col("p") + F.coalesce(F.col("owe") / here["all"], F.lit(0.0))
+        low = F.aggregate(F.map_values(F.map_filter("tiers", lambda k, v: k < tier)), F.lit(0).cast("long"), lambda a, x: a + x["all"])
+        now = state.withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), want))).withColumn("rest", F.when(here.isNull(), F.col("owe")).otherwise((want - F.col("q")) * here["all"])).withColumn("low", low)
+        mine = per.filter(F.col("tier") == tier).filter("w > 0").join(at(now.select(F.col("source").alias("s"), "q", here["n"].alias("n"))), F.col("source").eqNullSafe(F.col("s")))
+        mine = mine.select("source", "n", "u", "id", "w", F.col("q").alias("p"))
+        swept, last = _tree(mine.filter("p > 0 and p < 1"), seed + 100 * tier)
+        last = last.select(F.col("source").alias("l"), "id", "w", F.col("p").alias("f"), _uniform(F.col("u"), F.lit(seed + 100 * tier), F.lit("last")).alias("x"))
+        now = now.join(at(last), F.col("source").eqNullSafe(F.col("l")), "left")
+        # what shorter documents can give and take beyond their fractions
+        over = lambda owe: F.greatest(owe - (1 - F.col("p")) * F.col("low"), -owe - F.col("p") * F.col("low"), F.lit(0.0))
+        if_up, if_down = F.col("rest") + (F.col("f") - 1) * F.col("w"), F.col("rest") + F.col("f") * F.col("w")
+        up = F.when(over(if_up) < over(if_down), 1).when(over(if_up) > over(if_down), 0).otherwise((F.col("x") < F.col("f")).cast("int"))
+        state = materialize(now.withColumn("up", up).select("source", "p", "tiers", "id", "up", F.when(F.col("id").isNull() & F.col("w").isNull(), F.col("rest")).when(F.col("up") == 1, if_up).otherwise(if_down).alias("owe"), F.col("w").isNotNull().alias("had")))
+        sure = mine.filter("p <= 0 or p >= 1").select("source", "id", F.col("p").cast("int").alias("up"))
+        for d in [sure, *swept, state.filter("had").select("source", "id", "up")]:
+            done.append(base(d).select("source", "id", (F.col("base") + F.col("up")).alias("copies")))
+        state = state.select("source", "p", "tiers", "owe")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -53,7 +53,7 @@ def water(sizes, weights, share, cap):
 
 def test_mixing(docs):
     r = random.Random(2)
-    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 30, 200])), "en", r.choice(["b", "b", "b", "a", "c", "d", None]), 0) for i in range(1, 1500)] + [(None, "a b", None, "a", 0), (7, "again here", None, "b", 0), (8, None, None, "c", 0)]
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 30, 200, 200, 9000] if i < 30 else [0, 1, 5, 30, 200])), "en", r.choice(["b", "b", "b", "a", "c", "d", None]), 0) for i in range(1, 1500)] + [(None, "a b", None, "a", 0), (7, "again here", None, "b", 0), (8, None, None, "c", 0)]
     d = docs(*rows)
     got = mixing.mix(d, slim=True).collect()
     sizes = defaultdict(int)
@@ -68,8 +68,9 @@ def test_mixing(docs):
         assert x["target"] == pytest.approx(want[s])
         assert 0 <= x["copies"] <= 2
         taken[s] += x["copies"] * x["size"]
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= 200
+    for s in sizes:  # short documents settle what long ones leave
+        assert abs(taken[s] - want[s]) <= 31
+    assert max(x["size"] for x in got) == 9000
     again = mixing.mix(d.repartition(7), slim=True).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mixed(d).count() == sum(x["copies"] for x in got)
