@@ -14,8 +14,8 @@ Pieces of more than half the capacity have a sequence each, whose rest is a gap.
 The result needs as many sequences as best-fit decreasing, or few more (tests compare both).
 
 Token ids are those of ``tokenizers``. White space that begins a word always begins a token of the vocabulary's pattern,
-so words, with the white space before them, are encoded one by one: the distinct ones of a batch, once. Texts with
-unusual white space are encoded whole.
+and so does a mark after a letter; words, with the white space before them, are therefore encoded one by one, the distinct
+ones of a batch once. Texts with unusual white space are encoded whole.
 
 Defined results: a null text is empty and has only the end id; each row is a document of its own, whether or not its
 id is repeated or null; equal lengths are ranked by a hash of id and piece; an empty table gives an empty result;
@@ -29,7 +29,6 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,14 @@ from .bytesvec import sliced
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-#: Words that a worker remembers, at most, and the bytes of the longest.
-WORDS, WORD_BYTES = 300_000, 64
-SLICE_BYTES = 1 << 22
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 13, 32]] = True
+#: Words that a worker remembers, at most twice as many, and the bytes of the longest.
+WORDS, WORD_BYTES = 150_000, 48
+SLICE_BYTES = 1 << 21
+BLANKS = frozenset(b"\t\n\r ")
+BLANK, LETTER, MARK = np.zeros((3, 256), bool)
+BLANK[list(BLANKS)] = True
+LETTER[65:91] = LETTER[97:123] = True
+MARK[list(b',.;:!?)"')] = True
 #: White space, or what may pass for it, beside BLANK; and the bytes it may begin with.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 ODD_BYTE = np.zeros(256, bool)
@@ -54,7 +56,7 @@ ODD_BYTE[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = T
 
 @lru_cache(1)
 def encoder(vocabulary: str):
-    """The tokenizer, the bytes that each id stands for (their number), and the words seen so far."""
+    """The tokenizer, the bytes that each id stands for (their number), and the words seen of late and before."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -65,26 +67,38 @@ def encoder(vocabulary: str):
         size[i] = len(word)  # one character stands for one byte
     for i, word in whole.get_added_tokens_decoder().items():
         size[i] = len(word.content.encode())
-    return whole, size, {}
+    return whole, size, [{}, {}]
 
 
-def encode_words(words: list[bytes], vocabulary: str) -> list[list[int]]:
-    """Ids of each word by itself."""
+def encode_words(words: list[bytes], vocabulary: str) -> list[bytes]:
+    """Ids of each word by itself, as little-endian unsigned 32-bit numbers."""
     whole, size, known = encoder(vocabulary)
-    if len(known) > WORDS:
-        known.clear()
-    out = [known.get(w) for w in words]
-    new = [i for i, ids in enumerate(out) if ids is None]
-    # words that begin with white space and end without can be encoded in one go and told apart by their bytes
-    run = [i for i in new if BLANK[words[i][0]] and not BLANK[words[i][-1]] and len(words[i]) <= WORD_BYTES]
-    ids = whole.encode_batch_fast([b"".join(words[i] for i in run).decode()], add_special_tokens=False)[0].ids
-    cuts = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(words[i]) for i in run]) if run else [], "right")
-    for i, lo, hi in zip(run, [0, *cuts.tolist()], cuts.tolist()):
-        out[i] = ids[lo:hi]
-    rest = [i for i in new if out[i] is None]
-    for i, e in zip(rest, whole.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
-        out[i] = e.ids
-    known.update((words[i], out[i]) for i in new if len(words[i]) <= WORD_BYTES)
+    late, before = known
+    out = list(map(late.get, words))
+    missing = [i for i, ids in enumerate(out) if ids is None]
+    run, rest = [], []
+    for i in missing:
+        w = words[i]
+        ids = before.get(w)
+        if ids is not None:
+            out[i] = late[w] = ids
+        # words that begin with white space and end without can be encoded in one go and told apart by their bytes
+        elif w[0] in BLANKS and w[-1] not in BLANKS and len(w) <= WORD_BYTES:
+            run.append(w)
+        else:
+            rest.append(w)
+    ids = whole.encode_batch_fast([b"".join(run).decode()], add_special_tokens=False)[0].ids
+    ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+    cuts = (4 * np.searchsorted(np.cumsum(size[ids]), ends, "right")).tolist()
+    packed = np.array(ids, "<u4").tobytes()
+    new = {w: packed[lo:hi] for w, lo, hi in zip(run, [0, *cuts], cuts)}
+    new |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))}
+    for i in missing:
+        if out[i] is None:
+            out[i] = new[words[i]]
+    late.update(new if not rest else {w: x for w, x in new.items() if len(w) <= WORD_BYTES})
+    if len(late) > WORDS:
+        known[:] = {}, late
     return out
 
 
@@ -93,6 +107,7 @@ def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.nda
     for lo, hi, data, rows in sliced(column, SLICE_BYTES):
         cut = BLANK[data]
         cut[1:] &= ~cut[:-1]
+        cut[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
         cut[rows[:-1][rows[:-1] < len(data)]] = True
         odd = np.searchsorted(rows, np.flatnonzero(ODD_BYTE[data]), "right") - 1
         for r in np.unique(odd).tolist():
@@ -103,11 +118,11 @@ def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.nda
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         of = words.indices.to_numpy()
         ids = encode_words(words.dictionary.to_pylist(), vocabulary)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.dtype("<u4"), int(n.sum()))
-        first, each = (np.cumsum(n) - n)[of] if len(of) else n, n[of] if len(of) else n
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        first, each = (np.cumsum(n) - n)[of], n[of]
         ends = np.cumsum(each)
-        flat = pool[np.repeat(first - (ends - each), each) + np.arange(int(each.sum()))]
+        flat = pool[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         at = np.concatenate(([0], ends))[np.searchsorted(start, rows)]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             yield flat[a:b]
