@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from .bytesvec import sliced, words
-from .common import small
+from .common import modest_batches, small
 from .toxicity import fold
 
 TRAIN_DOCS, FOLDS = 1500, 3
@@ -143,6 +143,7 @@ def _predict(batches: Iterable[pa.RecordBatch], names: list[str], like: np.ndarr
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, n_langs``; the last is how many languages the text was found to mix."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, folds) == 1).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _predict(it, *sent.value), "doc_id long, held_out boolean, lang_pred string, score double, n_langs int")

@@ -402,10 +402,9 @@ def _removed(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.
 def hot_grams(texts: DataFrame, total: int) -> list[int]:
     """q-grams with more than their share of a sample's anchors: ``HOT_SHARE`` of them at most, by that very share."""
     drawn = texts.filter(F.pmod(F.xxhash64("key", "th"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total))))
-    counts = drawn.mapInArrow(_anchors, ANCHOR_KIND).filter("pos >= 0").groupBy("h").count()
-    n = counts.agg(F.sum("count").alias("n"), F.max("count").alias("top"))
-    found = counts.filter(F.col("count") >= LEAST_HOT).join(F.broadcast(n), F.col("count") * HOT_SHARE > F.col("n"))
-    return [r["h"] for r in found.select("h").collect()]
+    counts = materialize(drawn.mapInArrow(_anchors, ANCHOR_KIND).filter("pos >= 0").groupBy("h").count())
+    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return [r["h"] for r in counts.filter((F.col("count") >= LEAST_HOT) & (F.col("count") * HOT_SHARE > n)).select("h").collect()]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

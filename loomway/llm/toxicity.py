@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from .bytesvec import U, prefix, sliced, stretch, words
+from .common import modest_batches
 
 TRAIN_DOCS, FOLDS = 8000, 5
 #: Bytes of a word's beginnings that are features beside the word.
@@ -159,6 +160,7 @@ def _score(batches: Iterable[pa.RecordBatch], w: np.ndarray, spans: bool) -> Ite
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, spans: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_sentences, n_offending``; with ``spans`` the offending sentences and their byte places."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
     kind = "doc_id long, held_out boolean, score double, n_sentences long, n_offending long" + ", offending array<struct<start:long,end:long,p:double,sentence:string>>" * spans
@@ -168,4 +170,4 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), spans=True)
