@@ -12,6 +12,7 @@ from ..model import RoadGraph
 from ..operators.build import build
 from ..operators.components import connected_components
 from ..operators.compress import compress, contractible, degrees
+from ..operators.held import hold, search_held
 from ..operators.hierarchy import contract, meet
 from ..operators.search import aliases, private_vertices, search
 from ..operators.spatial import nearest, within
@@ -90,7 +91,12 @@ def point_routes(spark, sf_dir):
     """A trip for every order; trips from one place share a search."""
     n = table(spark, sf_dir, "supplier").count()
     q = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % n).cast("long").alias("a"), (F.col("o_orderkey") % n).cast("long").alias("b"))
-    ends = search(directed(spark, sf_dir), q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct(), paths=False)
+    roads, sources = directed(spark, sf_dir), q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct()
+    held = hold(roads)
+    if held is not None:
+        ends = search_held(held, sources, q.select(F.col("a").alias("query_id"), F.col("b").alias("v")).distinct(), paths=False, every=True)
+    else:
+        ends = search(roads, sources, paths=False)
     return q.join(ends.select(F.col("query_id").alias("a"), F.col("v").alias("b"), "cost"), ["a", "b"], "left").select("o_orderkey", "a", "b", _ms(F.col("cost")))
 
 
@@ -260,8 +266,13 @@ def ban_kind(spark, sf_dir):
 def cond_in_force(spark, sf_dir):
     """Four conditions at the time of every event."""
     said = {"rush": "no @ (Mo-Fr 07:00-09:00)", "night": "no @ (22:00-06:30)", "weekend": "no @ (Sa-Mo)", "unreadable": "no @ (sunset-sunrise)"}
-    ts = F.col("ts").cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select("event_id", *(conditions.in_force(F.lit(e), ts).alias(n) for n, e in said.items()))
+    ts, events = F.col("ts").cast("timestamp_ntz"), table(spark, sf_dir, "events")
+    plans = conditions.schedules(spark.createDataFrame([(e,) for e in said.values()], "e string"))
+    plans = plans.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("condition", "closed"))).alias("plans"))  # one row of four
+    # one row for the week's minutes, each with what holds then
+    week = plans.select(F.posexplode(F.arrays_zip(*(F.col("plans")[F.lit(e)].alias(n) for n, e in said.items()))).alias("minute", "x")).select("minute", "x.*")
+    minute = F.weekday(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return events.withColumn("m", minute).join(F.broadcast(week), F.col("m") == F.col("minute")).select("event_id", *said)
 
 
 @query(f"""WITH {EDGES_SQL}, p AS (SELECT s_suppkey v FROM supplier), r AS (SELECT v - 1 f, v via, v + 10 t, v % 2 = 1 is_only, v % 3 = 0 timed FROM p WHERE v % 10 BETWEEN 1 AND 9 AND v - 1 IN (FROM p) AND v + 10 IN (FROM p)),

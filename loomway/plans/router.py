@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ALTERNATIVE_PENALTY
 from ..core import materialize
 from ..model import POINTS, RoadGraph
+from ..operators.held import hold, search_held
 from ..operators.hierarchy import contract, meet, unpacked
 from ..operators.search import access_zones, aliases, reached, search, totals
 from ..operators.spatial import nearest
@@ -28,14 +29,19 @@ def query_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 @dataclass
 class Router:
-    """``strategy``: ``frontier`` or ``hierarchy``; both give the same routes. Clocked, toll-avoiding and alternative
-    searches, and those whose ends lie in private areas, always use the frontier."""
+    """``strategy``: ``held`` (every task holds the graph and answers whole queries with A*), ``frontier`` (rounds of joins)
+    or ``hierarchy``; all give the same routes. By default graphs are held if they are small enough. What the hierarchy
+    leaves out (clocked, toll-avoiding and alternative searches, and those whose ends lie in private areas) is searched
+    as by default."""
 
     graph: RoadGraph
-    strategy: str = "frontier"
+    strategy: str | None = None
     max_snap_m: float | None = None
 
     def __post_init__(self):
+        self._held = hold(self.graph.edges, self.graph.vertices) if self.strategy != "frontier" else None
+        if self.strategy == "held" and self._held is None:
+            raise ValueError("the graph has too many edges to be held by every task")
         self._hierarchy = contract(self.graph.edges) if self.strategy == "hierarchy" else None
         self._aliases = materialize(aliases(self.graph.vertices))
 
@@ -70,7 +76,10 @@ class Router:
                 out.append(lines.join(dist, ["query_id", "target"], "left").groupBy("query_id").agg(F.min(F.struct(F.col("time_s").alias("cost"), "time_s", F.col("target").alias("v"), F.coalesce("dist_m", F.lit(0.0)).alias("dist_m"), "path")).alias("b")).select("query_id", "b.*"))
                 plain = part.join(busy, "query_id", "left_semi")
             mine = lambda df, p=plain: df.join(p.select("query_id"), "query_id", "left_semi")
-            labels = search(e, mine(sources), mine(targets), zones, avoid, factors, clocks)
+            if self._held is not None:
+                labels = search_held(self._held, mine(sources), mine(targets), zones, avoid, factors, clocks)
+            else:
+                labels = search(e, mine(sources), mine(targets), zones, avoid, factors, clocks)
             out.append(reached(labels, mine(targets)))
         found = out[0]
         for more in out[1:]:

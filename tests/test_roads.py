@@ -1,12 +1,17 @@
 """Hand-made road networks: building, splitting, compressing, snapping and routing."""
 
+import math
+import random
 from datetime import datetime
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomway.functions import conditions
 from loomway.model import GeoGraph
+from loomway.operators import held
 from loomway.operators.build import build
 from loomway.operators.compress import compress
 from loomway.operators.components import connected_components
@@ -42,6 +47,12 @@ def routes(graph, road, pairs, strategy="frontier", **options):
     return found
 
 
+@pytest.fixture(params=["frontier", "held"])
+def each_way(request, monkeypatch):
+    """Routes are searched in rounds of joins, and in tasks that hold the graph."""
+    monkeypatch.setattr(routes, "__defaults__", (request.param,))
+
+
 def metres(graph, road, pairs, **options):
     return [r["distance_m"] for r in routes(graph, road, pairs, **options)]
 
@@ -157,7 +168,8 @@ def test_strategies_agree(spark):
     src = grid(spark, 5)
     road = build(src)
     pairs = [(0, 24), (6, 18), (3, 20), (7, 7)]
-    a, b = (routes(src, road, pairs, s) for s in ("frontier", "hierarchy"))
+    a, b, h = (routes(src, road, pairs, s) for s in ("frontier", "hierarchy", "held"))
+    assert [(r["duration_us"], r["distance_m"], r["geometry"]) for r in a] == [(r["duration_us"], r["distance_m"], r["geometry"]) for r in h]
     small, _ = compress(road)
     c = routes(src, small, pairs[1:2])  # the corners offer no choice and are gone
     assert [r["duration_us"] for r in a] == [r["duration_us"] for r in b]
@@ -166,6 +178,7 @@ def test_strategies_agree(spark):
     assert all(r["found"] for r in a)
 
 
+@pytest.mark.usefixtures("each_way")
 def test_tolls_are_avoided_if_possible(spark):
     nodes = [(i, 0.0, i * 0.01) for i in range(4)]
     d = GeoGraph.of(spark, nodes, [edge(0, 3, 200.0, 100.0, tolls=1), edge(0, 1, 150.0), edge(1, 2, 150.0), edge(2, 3, 150.0)])
@@ -176,6 +189,7 @@ def test_tolls_are_avoided_if_possible(spark):
     assert metres(only, build(only), [(0, 1)], avoid_tolls=True) == [200.0]
 
 
+@pytest.mark.usefixtures("each_way")
 def test_unreachable_and_one_way(spark):
     g = GeoGraph.of(spark, [(i, 0.0, i * 0.01) for i in range(1, 6)], [edge(1, 2, 100.0, one_way=True), edge(2, 3, 100.0, one_way=True), edge(4, 5)])
     found = routes(g, build(g), [(1, 3), (3, 1), (1, 4)])
@@ -190,7 +204,7 @@ def car_park(spark, flagged=True):
     return GeoGraph.of(spark, nodes, edges)
 
 
-@pytest.mark.parametrize("strategy", ["frontier", "hierarchy"])
+@pytest.mark.parametrize("strategy", ["frontier", "hierarchy", "held"])
 def test_access_zones(spark, strategy):
     g = car_park(spark)
     assert metres(g, build(g), [(1, 8), (1, 6), (6, 8), (4, 6)], strategy=strategy) == [1000.0, 150.0, 160.0, 30.0]
@@ -231,6 +245,7 @@ def test_junction_is_reached_through_its_copies(spark):
     assert metres(g, road, [(1, 3), (1, 4), (2, 4)]) == [1000.0, 2500.0, 2000.0]  # the last turns round at 5
 
 
+@pytest.mark.usefixtures("each_way")
 def test_conditional_turns_and_the_clock(spark):
     g = crossroads(spark, "no", condition="no_straight_on @ (Mo-Fr 07:00-09:00)")
     road, _ = split(build(g), g.restrictions)
@@ -264,6 +279,7 @@ def test_split_statistics_and_orphans(spark):
     assert stats.first().asDict() == {"applied": 0, "unresolved": 1, "contradictory": 2, "inert": 1, "copies": 0}
 
 
+@pytest.mark.usefixtures("each_way")
 def test_alternatives(spark):
     nodes = [(i, 0.0, i * 0.01) for i in range(6)]
     g = GeoGraph.of(spark, nodes, [edge(0, 1, 500.0), edge(1, 5, 500.0), edge(0, 2, 600.0), edge(2, 5, 600.0), edge(0, 3, 650.0), edge(3, 5, 600.0), edge(0, 4, 900.0), edge(4, 5, 900.0)])
@@ -274,6 +290,7 @@ def test_alternatives(spark):
     assert metres(g, road, [(0, 5)], max_routes=0) == [1000.0]
 
 
+@pytest.mark.usefixtures("each_way")
 def test_clock_needs_final_labels(spark):
     # s->u takes 600 s directly and 200 s by a; u->v is closed to arrivals before 300 s
     nodes = [(i, 0.0, i * 0.01) for i in range(1, 5)]
@@ -283,3 +300,44 @@ def test_clock_needs_final_labels(spark):
     road = type(road)(road.vertices, closed)
     assert [r["found"] for r in routes(g, road, [(1, 4)], at=datetime(2026, 9, 14, 8, 0))] == [False]
     assert [r["found"] for r in routes(g, road, [(1, 4)], at=datetime(2026, 9, 14, 9, 0))] == [True]
+
+
+def test_held_search_by_hand(spark):
+    """A* against plain relaxation on random roads, and how far it looks."""
+    r = random.Random(5)
+    places = {v: (-23.5 + (v // 8) * 0.01, -46.7 + (v % 8) * 0.01) for v in range(64)}
+    roads = []
+    for v in range(64):
+        for w in (v + 1, v + 8):
+            if w < 64 and (w != v + 1 or w % 8):
+                for a, b in ((v, w), (w, v)):
+                    if r.random() < 0.9:
+                        roads.append((len(roads), a, b, r.uniform(1.0, 3.0) * held.straight_m(*places[a], *places[b]) / 20, r.uniform(1000, 3000), r.random() < 0.2, r.random() < 0.1))
+    cols = [np.array(x) for x in zip(*sorted(roads, key=lambda x: (x[1], x[0])))]
+    g = held.HeldGraph(*cols, np.full(len(roads), -1), [], places)
+    assert 0 < g.max_speed <= 20 + 1e-6
+    for source, goal, avoid in [(0, 63, False), (5, 40, True), (63, 0, True), (9, 9, False)]:
+        best = {source: 0.0}
+        for _ in range(64):
+            for _, a, b, t, _, toll, _ in roads:
+                best[b] = min(best.get(b, math.inf), best.get(a, math.inf) + t * (1e6 if toll and avoid else 1))
+        final, by, settled = held.find(g, [source], {goal}, None, None, avoid, {}, None, False)
+        assert final[goal][0] == pytest.approx(best[goal])
+        by_id = {x[0]: x for x in roads}
+        assert sum(by_id[e][3] for e in held.way(by, goal)) == pytest.approx(final[goal][2])
+        whole, _, all_ = held.find(g, [source], None, None, None, avoid, {}, None, True)
+        assert {v: x[0] for v, x in whole.items()} == pytest.approx({v: t for v, t in best.items() if t < math.inf})
+        assert settled <= all_ == len(whole)
+    assert held.find(g, [27], {28}, None, None, False, {}, None, False)[2] < 40
+    edges = spark.createDataFrame([(0, 0, 1, 1.0, 1.0, 0, False, None)], "edge_id long, src long, dst long, time_s double, dist_m double, tolls int, access_only boolean, condition string")
+    assert held.hold(edges, most=0) is None and held.hold(edges).max_speed == math.inf
+
+
+def test_schedules_are_conditions(spark):
+    said = ["no @ (Mo-Fr 07:00-09:00)", "no @ (22:00-06:30)", "no @ (Sa-Mo)", "no @ (sunset-sunrise)", "no", "no @ (24/7)", "no @ (Mo 10:00-12:00; We)"]
+    e = spark.createDataFrame([(x,) for x in [*said, None, said[0]]], "c string")
+    plans = conditions.schedules(e)
+    assert plans.count() == len(said)
+    times = spark.range(0, 7 * 24 * 60, 37).select(F.expr("timestamp_ntz'2026-09-14 00:00:30' + make_interval(0, 0, 0, 0, 0, cast(id as int), 0)").alias("at"))
+    both = plans.crossJoin(times).select(conditions.closed_at(F.col("closed"), F.col("at")).alias("a"), conditions.in_force(F.col("condition"), F.col("at")).alias("b"))
+    assert both.filter("a <> b or a is null").count() == 0 and both.filter("a").count() > 0 and both.filter("not a").count() > 0
