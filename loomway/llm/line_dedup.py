@@ -197,7 +197,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = flag_perhaps(docs, F.col(text_col), gone.select("t"), hashed=True)
     text = F.col("row").getField(text_col)
     mine = F.col("row").getField(id_col).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("t"))
-    some = rows.filter("perhaps").join(gone, mine, "left").select("row", "gone")
+    some = rows.filter("perhaps").join(gone.hint("merge"), mine, "left").select("row", "gone")  # texts move once, at every size
     rows = some.unionByName(rows.filter("not perhaps").select("row", F.lit(None).cast("array<int>").alias("gone")))
     rows = rows.select("row", "gone", F.coalesce(text, F.lit("")).alias("body")).withColumn("said", F.split("body", "\n"))
     left = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(F.filter("said", lambda x, i: ~F.array_contains("gone", i)), "\n"))
