@@ -116,9 +116,10 @@ def degree_stats(spark, sf_dir):
     return degrees(directed(spark, sf_dir)).select("v", "n_out", "n_in")
 
 
-@query(f"WITH {EDGES_SQL} SELECT src AS v FROM e GROUP BY src HAVING bool_and(acc)")
+@query(f"WITH {EDGES_SQL} SELECT src AS v FROM e GROUP BY src HAVING bool_and(dist_m % 4 <> 0)")
 def private_places(spark, sf_dir):
-    return private_vertices(directed(spark, sf_dir))
+    """With three of four roads access-only."""
+    return private_vertices(directed(spark, sf_dir).withColumn("access_only", F.col("dist_m") % 4 != 0))
 
 
 @query(f"WITH {EDGES_SQL}, v AS (SELECT src v FROM e UNION SELECT dst FROM e) SELECT (SELECT count(*) FROM v) AS vertices, 0::BIGINT AS split_copies, count(*) AS edges, count(*) FILTER (tolls > 0) AS toll_edges, count(*) FILTER (dst IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 0)) AS signal_edges, count(*) FILTER (acc) AS access_only_edges, 0::BIGINT AS conditional_edges FROM e")
@@ -299,10 +300,12 @@ def orphans(spark, sf_dir):
     return orphaned_exits(g, turns(spark, sf_dir).withColumn("condition", F.lit(None).cast("string")))
 
 
-@query("SELECT s_suppkey AS v, s_suppkey AS alias FROM supplier")
+@query("""WITH p AS (SELECT s_suppkey::BIGINT v, v // 20 lat, v % 10 lon FROM supplier) SELECT v, v AS alias FROM p UNION SELECT v - 3, v FROM p WHERE v % 7 = 3
+UNION SELECT a.v, b.v FROM p a JOIN p b ON a.lat = b.lat AND a.lon = b.lon AND a.v <> b.v""")
 def place_aliases(spark, sf_dir):
-    v = places(spark, sf_dir).select(F.col("id").alias("v"), "lat", "lon", F.lit(None).cast("long").alias("split_parent"))
-    return aliases(v)
+    """Every other row of the grid falls on the one before; some places are copies of others."""
+    v = F.col("id")
+    return aliases(places(spark, sf_dir).select(v.alias("v"), F.floor(v / 20).cast("double").alias("lat"), (v % 10).cast("double").alias("lon"), F.when(v % 7 == 3, v - 3).alias("split_parent")))
 
 
 def _trips(spark, sf_dir, **options) -> DataFrame:

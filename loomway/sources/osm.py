@@ -109,5 +109,16 @@ def to_geo_graph(ways: DataFrame, nodes: DataFrame, relations: DataFrame | None
 
 def compile_graph(graph: GeoGraph, compressed: bool = True, signal_delay_s: float = SIGNAL_DELAY_S) -> RoadGraph:
     """Build, split, compress, in the order that matters."""
-    road, _ = split(build(graph, signal_delay_s), graph.restrictions)
-    return compress(road)[0] if compressed else road
+    return compile_with_counts(graph, None, compressed, signal_delay_s)[0]
+
+
+def compile_with_counts(graph: GeoGraph, read: DataFrame | None = None, compressed: bool = True, signal_delay_s: float = SIGNAL_DELAY_S) -> tuple[RoadGraph, DataFrame]:
+    """The compiled graph, and one row of what became of its restrictions: the counts from reading them (``read``, as
+    ``to_geo_graph`` gives them), from splitting, and of vertices and edges before and after compression."""
+    road, counts = split(build(graph, signal_delay_s), graph.restrictions)
+    if read is not None:
+        counts = read.crossJoin(counts)  # one row each
+    if not compressed:
+        return road, counts
+    road, reduced = compress(road)
+    return road, counts.crossJoin(reduced)  # one row each

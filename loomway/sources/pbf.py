@@ -1,15 +1,20 @@
-"""Reading OSM PBF files: Spark reads the bytes, tasks decode whole files (split large extracts into several)."""
+"""Reading OSM PBF files: Spark reads the bytes, one task a file cuts it into its blocks, and the blocks are dealt to all
+tasks, which decompress and decode them. A source writes what was decoded once and reads that for every kind of element."""
 
 from __future__ import annotations
 
+import lzma
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import CAR, VehicleProfile
+from ..core import materialize
 from ..model import GeoGraph
 from .osm import to_geo_graph
 
@@ -45,27 +50,48 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def _packed(b: bytes, signed: bool = False, delta: bool = False) -> list[int]:
-    out, i, last = [], 0, 0
-    while i < len(b):
-        v, i = _varint(b, i)
-        if signed:
-            v = (v >> 1) ^ -(v & 1)
-        last = last + v if delta else v
-        out.append(last)
-    return out
+    """All numbers of a packed field at once."""
+    x = np.frombuffer(b, np.uint8)
+    if not len(x):
+        return []
+    last = x < 128
+    start = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
+    of = np.cumsum(last) - last
+    v = np.bitwise_or.reduceat((x & 127).astype(np.uint64) << (7 * (np.arange(len(x)) - start[of])).astype(np.uint64), start)
+    out = v.astype(np.int64)
+    if signed:
+        out = (v >> np.uint64(1)).astype(np.int64) ^ -(v & np.uint64(1)).astype(np.int64)
+    return (np.cumsum(out) if delta else out).tolist()
 
 
 def blobs(data: bytes) -> Iterator[bytes]:
-    """The decompressed data blocks of a file."""
+    """The data blocks of a file, as they are stored."""
     i = 0
     while i + 4 <= len(data):
         (n,) = struct.unpack(">I", data[i : i + 4])
         head = dict(_fields(data[i + 4 : i + 4 + n]))
         i += 4 + n
-        blob = dict(_fields(data[i : i + head[3]]))
-        i += head[3]
         if head[1] == b"OSMData":
-            yield blob[1] if 1 in blob else zlib.decompress(blob[3])
+            yield data[i : i + head[3]]
+        i += head[3]
+
+
+def unpacked(blob: bytes) -> bytes:
+    """A block's content; raw, zlib, LZMA or, where the library for it is there, Zstandard."""
+    f = dict(_fields(blob))
+    if 1 in f:
+        return f[1]
+    if 3 in f:
+        return zlib.decompress(f[3])
+    if 4 in f:
+        return lzma.decompress(f[4])
+    if 7 in f:
+        try:
+            import zstandard
+        except ImportError as e:
+            raise ValueError("a block is compressed with Zstandard, which needs the zstandard package") from e
+        return zstandard.ZstdDecompressor().decompress(f[7], max_output_size=f.get(2, 0))
+    raise ValueError("a block has a compression that is not supported")
 
 
 def decoded(block: bytes) -> Iterator[tuple]:
@@ -79,7 +105,10 @@ def decoded(block: bytes) -> Iterator[tuple]:
     for group in parts.get(2, []):
         for kind, body in _fields(group):
             f = dict(_fields(body))
-            if kind == 2:
+            if kind == 1:
+                zig = lambda v: (v >> 1) ^ -(v & 1)
+                yield "node", zig(f[1]), (lat0 + unit * zig(f[8])) * 1e-9, (lon0 + unit * zig(f[9])) * 1e-9, None, None, tags(f)
+            elif kind == 2:
                 kv, own = _packed(f.get(10, b"")), []
                 while kv:
                     end = kv.index(0)
@@ -98,13 +127,19 @@ def decoded(block: bytes) -> Iterator[tuple]:
 def read_pbf(spark: SparkSession, path: str) -> DataFrame:
     """All elements of the files at ``path``."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                for block in blobs(bytes(data)):
-                    yield pd.DataFrame(list(decoded(block)), columns=COLUMNS)
+                for k, blob in enumerate(blobs(bytes(data))):
+                    yield pd.DataFrame({"k": [k], "blob": [blob]})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob in pdf["blob"]:
+                yield pd.DataFrame(list(decoded(unpacked(bytes(blob)))), columns=COLUMNS)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, KIND)
+    stored = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "k long, blob binary")
+    return stored.repartition(F.xxhash64("k", "blob")).select("blob").mapInPandas(rows, KIND)
 
 
 class PbfSource:
@@ -114,7 +149,7 @@ class PbfSource:
         self.spark, self.path, self.profile = spark, path, profile
 
     def load_graph(self) -> GeoGraph:
-        e = read_pbf(self.spark, self.path)
+        e = materialize(read_pbf(self.spark, self.path))
         nodes = e.filter("kind = 'node'").select("id", "lat", "lon", "tags")
         ways = e.filter("kind = 'way'").select("id", "node_ids", "tags")
         return to_geo_graph(ways, nodes, e.filter("kind = 'relation'").select("id", "members", "tags"), self.profile)[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,17 @@ class GraphStore:
         """Compiles a source's graph, uncompressed, and saves it."""
         self.save(graph_id, compile_graph(graph, compressed=False), profile)
 
+    def load_or_compile(self, graph_id: str, make: Callable[[], GeoGraph], profile: str = "car", compressed: bool = True) -> RoadGraph:
+        """The stored graph; where there is none, or none that can be read, ``make``'s is compiled and stored first."""
+        try:
+            found = self.load(graph_id, profile)
+        except GraphFormatError:
+            found = None
+        if found is None:
+            self.save(graph_id, compile_graph(make(), compressed), profile)
+            found = self.load(graph_id, profile)
+        return found
+
     def load_graph(self, graph_id: str, profile: str = "car") -> GeoGraph | None:
         """Back to a source's graph, as far as that goes: every edge one-way, signal delays part of the speed, geometry,
         signals and conditions lost. Not for graphs with split junctions."""

@@ -1,9 +1,11 @@
 """Reading tagged elements and PBF files, and storing graphs."""
 
+import lzma
 import struct
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomway.config import BICYCLE
@@ -79,19 +81,27 @@ def deltas(xs):
     return b"".join(zig(b - a) for a, b in zip([0, *xs], xs))
 
 
-@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("packed", ["raw", "zlib", "lzma", "zstd"])
 def test_pbf(spark, tmp_path, packed):
     text = [b"", b"highway", b"residential", b"via", b"barrier", b"gate"]
     at = [(-23.5, -46.7), (-23.49, -46.7), (-23.49, -46.69)]
     dense = field(1, deltas([1, 2, 3])) + field(8, deltas([round(a * 1e7) for a, _ in at])) + field(9, deltas([round(b * 1e7) for _, b in at])) + field(10, varint(0) + varint(4) + varint(5) + varint(0) + varint(0))
     way = field(1, 10) + field(2, varint(1)) + field(3, varint(2)) + field(8, deltas([1, 2, 3]))
     relation = field(1, 100) + field(8, varint(3)) + field(9, deltas([2])) + field(10, varint(0))
-    block = field(1, b"".join(field(1, s) for s in text)) + field(2, field(2, dense)) + field(2, field(3, way) + field(4, relation))
-    blob = field(2, len(block)) + field(3, zlib.compress(block)) if packed else field(1, block)
-    head = field(1, b"OSMData") + field(3, len(blob))
-    (tmp_path / "x.osm.pbf").write_bytes(struct.pack(">I", len(head)) + head + blob)
+    one = lambda n: (n << 1) ^ (n >> 63)
+    plain = field(1, one(-7)) + field(2, varint(4)) + field(3, varint(5)) + field(8, one(round(-23.4 * 1e7))) + field(9, one(round(-46.6 * 1e7)))
+    blocks = [field(1, b"".join(field(1, s) for s in text)) + x for x in (field(2, field(2, dense)) + field(2, field(1, plain)), field(2, field(3, way) + field(4, relation)))]
+    store = {"raw": lambda b: field(1, b), "zlib": lambda b: field(2, len(b)) + field(3, zlib.compress(b)), "lzma": lambda b: field(2, len(b)) + field(4, lzma.compress(b)), "zstd": lambda b: field(2, len(b)) + field(7, zstandard.compress(b))}
+    data = b""
+    for blob in (field(1, b""), *map(store[packed], blocks)):
+        head = field(1, b"OSMData" if data else b"OSMHeader") + field(3, len(blob))
+        data += struct.pack(">I", len(head)) + head + blob
+    (tmp_path / "x.osm.pbf").write_bytes(data)
+    with pytest.raises(ValueError, match="compression"):
+        pbf.unpacked(field(6, b"x"))
     got = {(r["kind"], r["id"]): r for r in pbf.read_pbf(spark, str(tmp_path)).collect()}
     assert got["node", 3]["lon"] == pytest.approx(-46.69) and got["node", 2]["tags"] == {"barrier": "gate"}
+    assert got["node", -7]["lat"] == pytest.approx(-23.4) and got["node", -7]["tags"] == {"barrier": "gate"}
     assert got["way", 10]["node_ids"] == [1, 2, 3] and got["way", 10]["tags"] == {"highway": "residential"}
     assert [tuple(m) for m in got["relation", 100]["members"]] == [(0, 2, "via")]
     assert pbf.PbfSource(spark, str(tmp_path)).load_graph().edges.count() == 2
@@ -113,6 +123,9 @@ def test_store(spark, tmp_path):
     assert back.edges.filter("abs(speed_kmh - 36) < 1e-9 and one_way").count() == 6
     s.delete("a/b")
     assert not s.exists("a/b") and s.exists("a/b", "bicycle")
+    made = []
+    make = lambda: made.append(1) or graph(spark)
+    assert [s.load_or_compile("e", make, compressed=False).edges.count() for _ in range(2)] == [6, 6] and len(made) == 1
     road, _ = split(build(graph(spark)), graph(spark, restrictions=[{"from_id": 1, "via_id": 2, "to_id": 3}]).restrictions)
     s.save("c", road)
     with pytest.raises(SplitGraphError):
@@ -126,3 +139,12 @@ def test_store(spark, tmp_path):
     road.edges.limit(1).write.mode("overwrite").parquet(s.path("d", "car") + "/edges")
     with pytest.raises(GraphFormatError):
         s.load("d")
+
+
+def test_counts_of_all_steps(spark):
+    g = graph(spark, restrictions=[{"from_id": 1, "via_id": 2, "to_id": 3}, {"from_id": 9, "via_id": 2, "to_id": 3}])
+    read = spark.createDataFrame([(2, 0)], "accepted long, ambiguous long")
+    road, counts = osm.compile_with_counts(g, read, compressed=False)
+    c = counts.first().asDict()
+    assert (c["accepted"], c["unresolved"], c["applied"] + c["contradictory"]) == (2, 1, 1)
+    assert {"vertex_reduction", "edges_after", "copies"} <= set(osm.compile_with_counts(g)[1].columns)
