@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..core import materialize, table
 from .common import BROADCAST_ROWS, WORD, small
 
+#: Weights of the sources in their order, the mix's share of all words, and the most of a source as a multiple of it.
+WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Documents that one task's array holds, about.
 FAN_IN = 256
 #: Binary digits of a size that make a tier.
@@ -45,6 +47,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return s.withColumn("level", level).select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), "most"), "most").alias("target"))
 
 
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _uniform(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
@@ -137,10 +143,10 @@ def copies(units: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slim: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slim: bool = False) -> DataFrame:
     """``row`` (the input row, or nothing but its id if ``slim``) with ``size, source_size, target, copies``."""
     row = F.struct(F.col(id_col).alias("doc_id")) if slim else F.struct("*")
-    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"))
     if slim:
         rows = materialize(rows)
     units = materialize(rows.groupBy("source", "id").agg(F.sum("size").alias("w")))
@@ -158,3 +164,23 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"), slim=True)
     return m.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op8_mix_sources`` aims at, source by source; this part SQL can express."""
+    d = table(spark, sf_dir, "documents").select("source", _size("text").alias("size"))
+    per = materialize(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.max("size").alias("longest")))
+    plan = targets(per.select("source", "source_size"), WEIGHTS, SHARE, CAP).select(F.col("source").alias("s"), F.round("target", 3).alias("target"))
+    return per.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", "n_docs", "longest")
+
+
+TARGETS_ORACLE = r"""
+WITH d AS (SELECT source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, count(*) AS n_docs, max(size)::BIGINT AS longest FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
+-- at every level that fills some source, what all sources together would take
+l AS (SELECT a.source, 2 * a.n / a.w AS level, sum(least(2 * a.n / a.w * b.w, 2.0 * b.n)) AS takes FROM w a, w b GROUP BY ALL),
+f AS (SELECT coalesce(max(level) FILTER (takes <= 1.5 * (SELECT sum(n) FROM s)), 0) AS level FROM l),
+o AS (SELECT (1.5 * (SELECT sum(n) FROM s) - coalesce(sum(2.0 * n) FILTER (2 * n / w <= level), 0)) / nullif(sum(w) FILTER (2 * n / w > level), 0) AS per FROM w, f)
+SELECT source, n AS source_size, round(CASE WHEN per IS NULL THEN 2.0 * n ELSE least(per * w, 2.0 * n) END, 3) AS target, n_docs, longest FROM w, o
+"""

@@ -15,11 +15,13 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_rules": quality.op10_quality_rules,
+    "mix_targets": mixing.mix_targets,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "mix_targets": mixing.TARGETS_ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
