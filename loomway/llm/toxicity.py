@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from .bytesvec import U, prefix, sliced, stretch, words
-from .common import modest_batches
+from .common import modest_batches, small
 
 TRAIN_DOCS, FOLDS = 8000, 5
 #: Bytes of a word's beginnings that are features beside the word.
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
     n = known.count()
     drawn = known.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / max(1, n))))
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("d") == F.col("i")).select("text", F.col("y").cast("int").alias("y"), "d")
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(small(drawn), F.col("d") == F.col("i")).select("text", F.col("y").cast("int").alias("y"), "d")
     rows = rows.repartition(1).sortWithinPartitions("d").drop("d")  # the sample's bound is that of this task
     found = rows.mapInArrow(_fit, "w binary").first()
     return np.frombuffer(found["w"], "<f4").astype(np.float64) if found else train(pa.array([], pa.string()), np.zeros(0, bool))
