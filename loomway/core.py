@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Names what this process writes, so that it can be removed when the process ends.
 _RUN = uuid.uuid4().hex
 _SEEN: set[str] = set()
-#: Folders written inside each open ``scratch`` block, innermost last.
-_OPEN: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """Folders written inside each open ``scratch`` block of a thread, innermost last."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,8 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.blocks:
+        _OPEN.blocks[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomway_path = path
     return out
@@ -68,9 +77,9 @@ def forget(*written: DataFrame | None) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is materialized inside is removed at the end: for callers that write their result before they leave."""
-    _OPEN.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _OPEN.blocks.pop():
             _remove(spark, path)

@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 from ..core import forget, materialize
 
 
-def _with_least(both: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-    """``u, v, m`` for every row of ``both``. A hub's rows are not dealt to one task: nodes with more than their share of
-    all rows are few (at most twice the number of partitions, by that very share) and their minima are broadcast."""
-    share = max(1, rows // (2 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hubs = F.broadcast(least.filter(F.col("n") > share).select(F.col("c").alias("hub"), F.col("m").alias("hub_m")))
-    seen = both.join(hubs, F.col("u") == F.col("hub"), "left")
-    rest = seen.filter("hub is null").select("u", "v").join(least.filter(F.col("n") <= share).select("c", "m"), F.col("u") == F.col("c"))
-    return seen.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest.select("u", "v", "m"))
-
-
-def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every neighbour above a node is linked to the least of the node and its neighbours. Small: every
     neighbour below it, and the node itself, are."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"), "n")
-    out = _with_least(both, least, 2 * rows if large else rows)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
+    out = both.join(least, F.col("u") == F.col("c"))
     if large:
         return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
@@ -32,19 +22,17 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (the least node reachable) for every node of some edge.
 
-    Each round is written to the shared folder, and the round before removed; the number of rounds grows with the
-    logarithm of the longest path. Self-loops count as nodes; null ends are dropped; repeated edges are one edge; no
-    edges give no rows.
+    Each round is written to the shared folder, and the one before removed; the number of rounds grows with the logarithm
+    of the longest path. Minima are taken before rows are dealt, but the rows of one node meet them in one task.
+    Self-loops count as nodes; null ends are dropped; repeated edges are one edge; no edges give no rows.
     """
     edges = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null").distinct())
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    now, before, rows = edges.filter("u <> v"), None, edges.count()
-    while rows:
-        half = materialize(_star(now, True, rows))
-        stars = materialize(_star(half, False, rows))
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        forget(now, half)
-        now, rows = stars, state[0]
+    now, before = edges.filter("u <> v"), None
+    while True:
+        last, now = now, materialize(_star(_star(now, True), False))
+        forget(last)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state

@@ -3,10 +3,7 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
-
 from loomway.core import forget, materialize, scratch, shared_dir
-from loomway.operators.components import _star, connected_components
 
 
 class Far:
@@ -36,9 +33,3 @@ def test_what_is_written_can_be_removed(spark):
     assert kept.count() == 3
     forget(kept, spark.range(1), None)
     assert not os.path.exists(kept._loomway_path)
-
-
-def test_a_hub_is_split(spark):
-    edges = spark.range(1, 200).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
-    assert "broadcast" in _star(edges, True, 199)._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert {r["component"] for r in connected_components(edges, "u", "v").collect()} == {0}

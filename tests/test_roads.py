@@ -1,6 +1,7 @@
 """Hand-made road networks: building, splitting, compressing, snapping and routing."""
 
 import math
+import os
 import random
 from datetime import datetime
 from itertools import product
@@ -9,17 +10,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomway.core import shared_dir
 from loomway.functions import conditions
 from loomway.model import GeoGraph
 from loomway.operators import held
 from loomway.operators.build import build
-from loomway.operators.compress import compress
+from loomway.operators.compress import compress, kept_components
 from loomway.operators.components import connected_components
 from loomway.operators.spatial import nearest, within
 from loomway.operators.split import orphaned_exits, split
 from loomway.plans import queries
 from loomway.plans.router import Router, query_rows
 from loomway.sources.derived import directed
+from loomway.streaming import answer_stream
 
 
 def edge(a, b, m=111.0, kmh=50.0, **more):
@@ -341,3 +344,29 @@ def test_schedules_are_conditions(spark):
     times = spark.range(0, 7 * 24 * 60, 37).select(F.expr("timestamp_ntz'2026-09-14 00:00:30' + make_interval(0, 0, 0, 0, 0, cast(id as int), 0)").alias("at"))
     both = plans.crossJoin(times).select(conditions.closed_at(F.col("closed"), F.col("at")).alias("a"), conditions.in_force(F.col("condition"), F.col("at")).alias("b"))
     assert both.filter("a <> b or a is null").count() == 0 and both.filter("a").count() > 0 and both.filter("not a").count() > 0
+
+
+def test_a_stream_of_queries(spark, tmp_path):
+    g = grid(spark, 3)
+    router = Router(build(g), max_snap_m=2000.0)
+    (lat_a, lon_a), (lat_b, lon_b) = place(g, 0), place(g, 8)
+    rows = [{"query_id": 1, "start_lat": lat_a, "start_lon": lon_a, "end_lat": lat_b, "end_lon": lon_b}, {"query_id": 2, "start_lat": lat_a, "start_lon": lon_a, "end_lat": 10.0, "end_lon": 10.0}]
+    asked = query_rows(spark, rows)
+    asked.write.parquet(str(tmp_path / "in"))
+    written = f"{shared_dir(spark)}/loomway"
+    before = sum(len(d) for _, d, _ in os.walk(written))
+    answer_stream(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in")), router, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r["query_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1]["found"] and got[1]["distance_m"] == 4004.0
+    assert not got.get(2, {"found": False})["found"]  # nothing is near enough to its end
+    assert sum(len(d) for _, d, _ in os.walk(written)) == before
+
+
+def test_components_that_are_kept(spark):
+    nodes = [(i, 0.0, i * 0.01) for i in range(9)]
+    road = build(GeoGraph.of(spark, nodes, [edge(0, 1), edge(1, 2), edge(2, 3), edge(4, 5), edge(6, 7), edge(7, 8)]))
+    ids = {r["v"]: r["original_id"] for r in road.vertices.collect()}
+    kept = lambda **o: sorted(ids[r["v"]] for r in kept_components(road, **o).collect())
+    assert kept() == list(range(9))
+    assert kept(min_size=3) == [0, 1, 2, 3, 6, 7, 8]
+    assert kept(largest_only=True) == [0, 1, 2, 3]
