@@ -14,6 +14,7 @@ from ..operators.components import connected_components
 from ..operators.compress import compress, contractible, degrees
 from ..operators.held import hold, search_held
 from ..operators.hierarchy import contract, meet
+from ..operators.labels import hold_labels, trips
 from ..operators.search import aliases, private_vertices, search
 from ..operators.spatial import nearest, within
 from ..operators.split import orphaned_exits, split
@@ -75,12 +76,26 @@ def sssp_conditional_no_clock(spark, sf_dir):
     return search(e, _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
 
 
+def _in_ms(edges: DataFrame) -> DataFrame:
+    """Whole milliseconds as weights: their sums are exact, penalties included, up to 2**53."""
+    return edges.withColumn("time_s", F.col("ms").cast("double"))
+
+
+def _whole(c: Column) -> Column:
+    return c.cast("long").alias("time_ms")
+
+
 @query(_sssp_sql("NOT e.acc"))
 def ch_routes(spark, sf_dir):
     """The hierarchy's times from place 0, on roads open to all."""
-    h = contract(directed(spark, sf_dir), 4)
+    e = _in_ms(directed(spark, sf_dir)).filter("not access_only")
+    held = hold_labels(e)
+    if held is not None:
+        to = e.select(F.explode(F.array("src", "dst")).alias("v")).unionByName(_from_zero(spark).select("v")).distinct()
+        return trips(held, to.withColumn("start", F.lit(0).cast("long")), "start", "v").filter("cost is not null").select("v", _whole(F.col("cost")))
+    h = contract(e, 4)
     to = h.ranks.select(F.lit(0).cast("long").alias("query_id"), "v").unionByName(_from_zero(spark)).distinct()
-    return meet(h, _from_zero(spark), to, paths=False).select(F.col("target").alias("v"), _ms(F.col("time_s")))
+    return meet(h, _from_zero(spark), to, paths=False).select(F.col("target").alias("v"), _whole(F.col("time_s")))
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, q AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) a, o_orderkey % (SELECT count(*) FROM supplier) b FROM orders),

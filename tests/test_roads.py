@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomway.core import shared_dir
 from loomway.functions import conditions
 from loomway.model import GeoGraph
-from loomway.operators import held
+from loomway.operators import held, hierarchy, labels
 from loomway.operators.build import build
 from loomway.operators.compress import compress, kept_components
 from loomway.operators.components import connected_components
@@ -370,3 +370,59 @@ def test_components_that_are_kept(spark):
     assert kept() == list(range(9))
     assert kept(min_size=3) == [0, 1, 2, 3, 6, 7, 8]
     assert kept(largest_only=True) == [0, 1, 2, 3]
+
+
+def least_times(roads, start):
+    """Plain relaxation over ``(src, dst, weight)``."""
+    best, more = {start: 0}, True
+    while more:
+        more = False
+        for a, b, t in roads:
+            if a in best and best[a] + t < best.get(b, math.inf):
+                best[b], more = best[a] + t, True
+    return best
+
+
+def mixed(spark, tmp_path, n):
+    """The folder of a derived network in which every column has roads open to all."""
+    spark.createDataFrame([(i, i % 5) for i in range(n)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, (k * 7 + 3) % 50 + 1) for k in range(2 * n)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_labels_by_hand():
+    """Labels against plain relaxation: one-way, parallel, looping and unconnected roads."""
+    r = random.Random(7)
+    roads = [(v, w, float(r.randrange(1, 50))) for v in range(60) for w in (v + 1, v + 6) if w < 60 and v != 29 for v, w in ((v, w), (w, v)) if r.random() < 0.8]
+    roads += [(3, 3, 1.0), (5, 6, 99.0), (5, 6, 2.0), (100, 101, 4.0)]
+    g = labels.contracted(*zip(*roads))
+    ends = [*range(60), 100, 101, 500]
+    for a in ends:
+        best = least_times(roads, a)
+        assert g.costs(np.full(len(ends), a), np.array(ends)).tolist() == [best.get(b, math.inf) for b in ends]
+    assert labels.contracted(*zip(*roads), cells=60) is None and labels.contracted(*zip(*roads), linked=60) is None
+    assert labels.contracted([], [], []).costs(np.array([1, 1]), np.array([1, 2])).tolist() == [0.0, math.inf]
+
+
+def test_hierarchy_from_one_place(spark, tmp_path, monkeypatch):
+    """Times from place 0 need no search in rounds, and are the same where the labels are too large to be held."""
+    d = mixed(spark, tmp_path, 20)
+    want = least_times([(r["src"], r["dst"], r["ms"]) for r in directed(spark, d).filter("not access_only").collect()], 0)
+    got = lambda: {r["v"]: r["time_ms"] for r in queries.Q["ch_routes"](spark, d).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(queries, "meet", None)
+        assert got() == want and len(want) > 5
+    monkeypatch.setattr(queries, "hold_labels", lambda e: None)
+    assert got() == want
+
+
+def test_targets_stay_out_of_the_core(spark, monkeypatch):
+    """The search from the targets climbs to the core and no further: it would reach all of it from each of them."""
+    h = hierarchy.contract(build(grid(spark, 4)).edges, 1)
+    ranks, seen = {r["v"]: r["rank"] for r in h.ranks.collect()}, []
+    upward = hierarchy._upward
+    monkeypatch.setattr(hierarchy, "_upward", lambda *a: seen.append(upward(*a)) or seen[-1])
+    ends = spark.createDataFrame([(0, v) for v in ranks], "query_id long, v long")
+    assert hierarchy.meet(h, ends.limit(1), ends, paths=False).count() == 16
+    core = [v for v, r in ranks.items() if r == hierarchy.CORE_RANK]
+    assert len(core) > 2 and seen[1].filter(F.col("query_id").isin(core) & (F.col("query_id") != F.col("v"))).count() == 0
