@@ -426,3 +426,15 @@ def test_targets_stay_out_of_the_core(spark, monkeypatch):
     assert hierarchy.meet(h, ends.limit(1), ends, paths=False).count() == 16
     core = [v for v, r in ranks.items() if r == hierarchy.CORE_RANK]
     assert len(core) > 2 and seen[1].filter(F.col("query_id").isin(core) & (F.col("query_id") != F.col("v"))).count() == 0
+
+
+def from_zero(spark, d, name, monkeypatch, weight, keep=lambda r: True):
+    """A query's times from place 0, without rounds of joins, against plain relaxation."""
+    want = least_times([(r["src"], r["dst"], weight(r)) for r in directed(spark, d).collect() if keep(r)], 0)
+    got = lambda: {r["v"]: r["time_ms"] for r in queries.Q[name](spark, d).collect()}
+    monkeypatch.setattr(queries, "search", None)
+    assert got() == want and len(want) > 10
+
+
+def test_times_from_one_place(spark, tmp_path, monkeypatch):
+    from_zero(spark, mixed(spark, tmp_path, 40), "sssp", monkeypatch, lambda r: r["ms"])
