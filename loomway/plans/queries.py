@@ -74,7 +74,7 @@ def sssp_tolls(spark, sf_dir):
 @query(_sssp_sql("NOT e.acc"))
 def sssp_access(spark, sf_dir):
     """The same on roads open to all."""
-    return search(directed(spark, sf_dir).filter("not access_only"), _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
+    return _times_from_zero(directed(spark, sf_dir).filter("not access_only"))
 
 
 @query(_sssp_sql("e.dist_m % 4 <> 0"))

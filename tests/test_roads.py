@@ -438,3 +438,7 @@ def from_zero(spark, d, name, monkeypatch, weight, keep=lambda r: True):
 
 def test_times_from_one_place(spark, tmp_path, monkeypatch):
     from_zero(spark, mixed(spark, tmp_path, 40), "sssp", monkeypatch, lambda r: r["ms"])
+
+
+def test_times_from_one_place_on_open_roads(spark, tmp_path, monkeypatch):
+    from_zero(spark, mixed(spark, tmp_path, 40), "sssp_access", monkeypatch, lambda r: r["ms"], lambda r: not r["access_only"])
