@@ -68,7 +68,7 @@ def sssp(spark, sf_dir):
 @query(_sssp_sql(weight="(e.ms::BIGINT * CASE WHEN e.tolls > 0 THEN 1000000 ELSE 1 END)"))
 def sssp_tolls(spark, sf_dir):
     """The same with tolls avoided where possible: penalised cost."""
-    return search(directed(spark, sf_dir), _from_zero(spark), avoid_tolls=_from_zero(spark).select("query_id"), paths=False).select("v", _ms(F.col("cost")))
+    return _times_from_zero(directed(spark, sf_dir), avoid_tolls=True)
 
 
 @query(_sssp_sql("NOT e.acc"))

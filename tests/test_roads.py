@@ -442,3 +442,7 @@ def test_times_from_one_place(spark, tmp_path, monkeypatch):
 
 def test_times_from_one_place_on_open_roads(spark, tmp_path, monkeypatch):
     from_zero(spark, mixed(spark, tmp_path, 40), "sssp_access", monkeypatch, lambda r: r["ms"], lambda r: not r["access_only"])
+
+
+def test_times_from_one_place_without_tolls(spark, tmp_path, monkeypatch):
+    from_zero(spark, mixed(spark, tmp_path, 40), "sssp_tolls", monkeypatch, lambda r: r["ms"] * (10**6 if r["tolls"] else 1))
