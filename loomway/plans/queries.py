@@ -111,16 +111,19 @@ d(s, v, t) USING KEY (s, v) AS (SELECT DISTINCT a::BIGINT, a::BIGINT, 0::BIGINT
     (SELECT d.s, e.dst::BIGINT, min(d.t + e.ms)::BIGINT FROM d JOIN e ON e.src = d.v LEFT JOIN recurring.d r ON r.s = d.s AND r.v = e.dst WHERE r.t IS NULL OR d.t + e.ms < r.t GROUP BY d.s, e.dst))
 SELECT o_orderkey, a, b, t AS time_ms FROM q LEFT JOIN d ON d.s = q.a AND d.v = q.b""")
 def point_routes(spark, sf_dir):
-    """A trip for every order; trips from one place share a search."""
+    """A trip for every order, by the hierarchy's labels; where these are too large, trips from one place share a search."""
     n = table(spark, sf_dir, "supplier").count()
     q = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % n).cast("long").alias("a"), (F.col("o_orderkey") % n).cast("long").alias("b"))
-    roads, sources = directed(spark, sf_dir), q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct()
-    held = hold(roads)
+    e = _in_ms(directed(spark, sf_dir))
+    labels = hold_labels(e)
+    if labels is not None:
+        return trips(labels, q, "a", "b").select("o_orderkey", "a", "b", _whole(F.col("cost")))
+    sources, held = q.select(F.col("a").alias("query_id"), F.col("a").alias("v")).distinct(), hold(e)
     if held is not None:
         ends = search_held(held, sources, q.select(F.col("a").alias("query_id"), F.col("b").alias("v")).distinct(), paths=False, every=True)
     else:
-        ends = search(roads, sources, paths=False)
-    return q.join(ends.select(F.col("query_id").alias("a"), F.col("v").alias("b"), "cost"), ["a", "b"], "left").select("o_orderkey", "a", "b", _ms(F.col("cost")))
+        ends = search(e, sources, paths=False)
+    return q.join(ends.select(F.col("query_id").alias("a"), F.col("v").alias("b"), "cost"), ["a", "b"], "left").select("o_orderkey", "a", "b", _whole(F.col("cost")))
 
 
 @query(f"""WITH {EDGES_SQL}, l AS (SELECT s_suppkey v FROM supplier WHERE s_nationkey % 5 = 0)

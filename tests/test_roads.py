@@ -446,3 +446,20 @@ def test_times_from_one_place_on_open_roads(spark, tmp_path, monkeypatch):
 
 def test_times_from_one_place_without_tolls(spark, tmp_path, monkeypatch):
     from_zero(spark, mixed(spark, tmp_path, 40), "sssp_tolls", monkeypatch, lambda r: r["ms"] * (10**6 if r["tolls"] else 1))
+
+
+def test_trips_by_labels(spark, tmp_path, monkeypatch):
+    """A trip for every order without a search from each place; the searches give the same."""
+    d = derived(spark, tmp_path, range(40), [k for k in range(80) if k % 10 not in (1, 3, 4, 6)])
+    orders = [(k, k * 7 % 53 if k % 11 else None) for k in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    roads = [(r["src"], r["dst"], r["ms"]) for r in directed(spark, d).collect()]
+    best = {a: least_times(roads, a) for a in range(40)}
+    want = sorted((k, c if c is None else c % 40, k % 40, None if c is None else best[c % 40].get(k % 40)) for k, c in orders)
+    got = lambda: sorted(map(tuple, queries.Q["point_routes"](spark, d).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(queries, "search", None)
+        m.setattr(queries, "search_held", None)
+        assert got() == want and 0 < sum(x[3] is None and x[1] is not None for x in want) < 180
+    monkeypatch.setattr(queries, "hold_labels", lambda e: None)
+    assert got() == want
