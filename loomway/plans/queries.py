@@ -51,6 +51,15 @@ def _ms(c: Column) -> Column:
     return F.round(c * 1000).cast("long").alias("time_ms")
 
 
+def _in_ms(edges: DataFrame) -> DataFrame:
+    """Whole milliseconds as weights: their sums are exact, penalties included, up to 2**53."""
+    return edges.withColumn("time_s", F.col("ms").cast("double"))
+
+
+def _whole(c: Column) -> Column:
+    return c.cast("long").alias("time_ms")
+
+
 def _times_from_zero(edges: DataFrame, avoid_tolls: bool = False) -> DataFrame:
     """``v, time_ms``; in one task that holds the graph, or in rounds of joins if it is too large for that."""
     start, edges = _from_zero(edges.sparkSession), _in_ms(edges)
@@ -80,17 +89,7 @@ def sssp_access(spark, sf_dir):
 @query(_sssp_sql("e.dist_m % 4 <> 0"))
 def sssp_conditional_no_clock(spark, sf_dir):
     """Conditional roads without a clock are closed."""
-    e = directed(spark, sf_dir).withColumn("condition", F.when(F.col("dist_m") % 4 == 0, CONDITION))
-    return search(e, _from_zero(spark), paths=False).select("v", _ms(F.col("cost")))
-
-
-def _in_ms(edges: DataFrame) -> DataFrame:
-    """Whole milliseconds as weights: their sums are exact, penalties included, up to 2**53."""
-    return edges.withColumn("time_s", F.col("ms").cast("double"))
-
-
-def _whole(c: Column) -> Column:
-    return c.cast("long").alias("time_ms")
+    return _times_from_zero(directed(spark, sf_dir).withColumn("condition", F.when(F.col("dist_m") % 4 == 0, CONDITION)))
 
 
 @query(_sssp_sql("NOT e.acc"))

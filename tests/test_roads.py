@@ -463,3 +463,7 @@ def test_trips_by_labels(spark, tmp_path, monkeypatch):
         assert got() == want and 0 < sum(x[3] is None and x[1] is not None for x in want) < 180
     monkeypatch.setattr(queries, "hold_labels", lambda e: None)
     assert got() == want
+
+
+def test_times_from_one_place_with_conditions(spark, tmp_path, monkeypatch):
+    from_zero(spark, mixed(spark, tmp_path, 40), "sssp_conditional_no_clock", monkeypatch, lambda r: r["ms"], lambda r: r["dist_m"] % 4 != 0)
